@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import spans
+from . import pieces, seen, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,46 @@ def p1_found(spark, sf_dir):
 @query(_SPANS + "select rid, count(*) as spans, cast(sum(end_pos - start_pos) as bigint) as shared_letters, max(end_pos - start_pos) as longest_span from spans group by rid")
 def p1_parts(spark, sf_dir):
     return spans.shared_parts(table(spark, sf_dir, "fasta_record"))
+
+
+_KEYS = """
+with cleaned as (select arrival, upper(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) as v from kmer_stream where arrival is not null),
+keys as (select arrival, least(v, reverse(translate(v, 'ACGT', 'TGCA'))) as c from cleaned where regexp_full_match(v, '[ACGT]{31}')),
+firsts as (select c, min(arrival) as a from keys group by c),
+answers as (select distinct k.arrival, k.arrival > f.a or exists (select 1 from kmer_known n where n.c = k.c) as seen from keys k join firsts f using (c))
+"""
+
+
+@query(_KEYS + "select arrival from answers where seen")
+def p3_found(spark, sf_dir):
+    return seen.seen_before(table(spark, sf_dir, "kmer_stream"), table(spark, sf_dir, "kmer_known"))
+
+
+@query()
+def p3_rate(spark, sf_dir):
+    return seen.seen_rate(table(spark, sf_dir, "kmer_stream"), table(spark, sf_dir, "kmer_known"))
+
+
+_FURTHEST = """
+with recursive texts as (select distinct rid, seq from fasta_record where length(seq) > 4000),
+parts as (select rid, seq, regexp_extract_all(seq, '[ACGTacgt]+|[^ACGTacgt]+') as runs from texts),
+ends as (select rid, seq, unnest(runs) as run, unnest(range(1, len(runs) + 1)) as n, runs from parts),
+bounds as (select distinct rid, seq, b from (select rid, seq, run, sum(length(run)) over (partition by rid, seq order by n) as b from ends) where length(run) >= 10 and not regexp_full_match(run, '[ACGTacgt]+')),
+lists as (select t.rid, t.seq, length(t.seq) as size, list(b) filter (b is not null) as bs from texts t left join bounds b on t.rid is not distinct from b.rid and t.seq = b.seq group by all),
+pieces as (
+  select rid, seq, size, bs, cast(0 as bigint) as s, cast(coalesce(list_max(list_filter(bs, lambda x: x > 2000 and x <= 4000)), 4000) as bigint) as e from lists
+  union all
+  select rid, seq, size, bs, e - 30, case when size - (e - 30) <= 4000 then size else cast(coalesce(list_max(list_filter(bs, lambda x: x > e - 30 + 2000 and x <= e - 30 + 4000)), e - 30 + 4000) as bigint) end from pieces where e < size
+)
+select distinct rid, s as start_pos, e as end_pos from pieces
+"""
+
+
+@query(_FURTHEST)
+def p4_found(spark, sf_dir):
+    return pieces.split_records(table(spark, sf_dir, "fasta_record"), placement="furthest")
+
+
+@query()
+def p4_balanced(spark, sf_dir):
+    return pieces.split_records(table(spark, sf_dir, "fasta_record"), placement="balanced")
