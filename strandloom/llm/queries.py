@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, seen, spans
+from . import overlaps, pieces, seen, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,21 @@ def p4_found(spark, sf_dir):
 @query()
 def p4_balanced(spark, sf_dir):
     return pieces.split_records(table(spark, sf_dir, "fasta_record"), placement="balanced")
+
+
+_SETS = """
+with texts as (select lower(regexp_replace(dataset, '^\\s+|\\s+$', '', 'g')) as d, upper(seq) as s from fasta_record where length(seq) >= 31),
+cut as (select d, s[p + 1:p + 31] as v from (select d, s, unnest(range(length(s) - 30)) as p from texts)
+  union all select lower(regexp_replace(dataset, '^\\s+|\\s+$', '', 'g')), upper(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) from kmer_stream),
+sets as (select distinct d, least(v, reverse(translate(v, 'ACGT', 'TGCA'))) as c from cut where d is not null and regexp_full_match(v, '[ACGT]{31}')),
+"""
+
+
+@query(_SETS + "common as (select * from sets semi join (select c from sets group by c having count(*) > 1) using (c)) select a.d as dataset_a, b.d as dataset_b from common a join common b on a.c = b.c and a.d < b.d group by 1, 2 having count(*) >= 200")
+def p5_found(spark, sf_dir):
+    return overlaps.overlapping(table(spark, sf_dir, "fasta_record"), table(spark, sf_dir, "kmer_stream"))
+
+
+@query()
+def p5_estimates(spark, sf_dir):
+    return overlaps.overlap_estimates(table(spark, sf_dir, "fasta_record"), table(spark, sf_dir, "kmer_stream"))

@@ -84,8 +84,10 @@ def keys_of(values: pa.Array, k: int = 31) -> tuple[np.ndarray, np.ndarray]:
     text = pc.utf8_upper(pc.utf8_trim_whitespace(values))
     fits = pc.fill_null(pc.equal(pc.binary_length(text), k), False)
     rows = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
-    raw = b"".join(text.filter(fits).cast(pa.binary()).to_pylist())
-    codes = CODE[np.frombuffer(raw, np.uint8)].reshape(-1, k)
+    text = text.filter(fits)
+    _, offsets, data = text.buffers()
+    first = np.frombuffer(offsets, np.int32)[text.offset] if len(text) else 0
+    codes = CODE[np.frombuffer(data or b"", np.uint8)[first : first + k * len(text)]].reshape(-1, k)
     good = (codes != NONE).all(1)
     columns = np.ascontiguousarray(codes[good].T).astype(np.uint64)
     forward, back = np.zeros(columns.shape[1], np.uint64), np.zeros(columns.shape[1], np.uint64)
