@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import overlaps, pieces, seen, spans
+from . import near, overlaps, pieces, seen, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,26 @@ def p5_found(spark, sf_dir):
 @query()
 def p5_estimates(spark, sf_dir):
     return overlaps.overlap_estimates(table(spark, sf_dir, "fasta_record"), table(spark, sf_dir, "kmer_stream"))
+
+
+_NEAR = """
+with recursive texts as (select distinct rid, upper(seq) as s from fasta_record where rid is not null and length(seq) >= 15),
+cut as (select rid, s[p + 1:p + 15] as v from (select rid, s, unnest(range(length(s) - 14)) as p from texts)),
+sets as (select distinct rid, least(v, reverse(translate(v, 'ACGT', 'TGCA'))) as c from cut where regexp_full_match(v, '[ACGT]{15}')),
+sizes as (select rid, count(*) as n from sets group by rid having count(*) >= 50),
+common as (select rid, c from sets semi join (select c from sets group by c having count(*) > 1) using (c) semi join sizes using (rid)),
+pairs as (select a.rid as x, b.rid as y, count(*) as n from common a join common b on a.c = b.c and a.rid < b.rid group by all),
+links as (select x, y from pairs join sizes s on s.rid = x join sizes t on t.rid = y where pairs.n >= 0.6 * (s.n + t.n - pairs.n)),
+edges as (select x, y from links union select y, x from links),
+reach as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x)
+"""
+
+
+@query(_NEAR + "select x as rid_a, y as rid_b from reach where x < y")
+def p2_found(spark, sf_dir):
+    return near.near_pairs(table(spark, sf_dir, "fasta_record"))
+
+
+@query(_NEAR + "select s.rid, coalesce(least(s.rid, min(r.y)), s.rid) as near from sizes s left join reach r on r.x = s.rid group by s.rid")
+def p2_groups(spark, sf_dir):
+    return near.near_groups(table(spark, sf_dir, "fasta_record")).select("rid", "near")
