@@ -112,3 +112,22 @@ _FOUR = np.array([[b >> 6, b >> 4 & 3, b >> 2 & 3, b & 3] for b in range(256)],
 def unpack(data: bytes, n: int) -> np.ndarray:
     """The first n letters of what ``pack`` made."""
     return _FOUR[np.frombuffer(data, np.uint8)].reshape(-1)[:n]
+
+
+def reverse_complement(x: np.ndarray, k: int) -> np.ndarray:
+    """The reverse complement of windows of k <= 32 letters, as uint64."""
+    x = ~x
+    two, four = np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+    x = (x >> np.uint64(2) & two) | (x & two) << np.uint64(2)
+    x = (x >> np.uint64(4) & four) | (x & four) << np.uint64(4)
+    return x.byteswap() >> np.uint64(64 - 2 * k)
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of the n values from each position on."""
+    out, size = x, 1
+    while size < n:
+        step = min(size, n - size)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        size += step
+    return out
