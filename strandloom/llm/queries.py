@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, overlaps, pieces, seen, spans
+from . import near, overlaps, pieces, seen, spans, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,3 +131,13 @@ def p2_found(spark, sf_dir):
 @query(_NEAR + "select s.rid, coalesce(least(s.rid, min(r.y)), s.rid) as near from sizes s left join reach r on r.x = s.rid group by s.rid")
 def p2_groups(spark, sf_dir):
     return near.near_groups(table(spark, sf_dir, "fasta_record")).select("rid", "near")
+
+
+@query()
+def p6_ids(spark, sf_dir):
+    return tokens.encoded(table(spark, sf_dir, "documents"))
+
+
+@query("select doc_id, coalesce(text, '') as text from documents")
+def p6_decoded(spark, sf_dir):
+    return tokens.decoded(tokens.encoded(table(spark, sf_dir, "documents")))
