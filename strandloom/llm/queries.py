@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, overlaps, pieces, seen, spans, tokens
+from . import near, overlaps, packing, pieces, seen, spans, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,3 +141,13 @@ def p6_ids(spark, sf_dir):
 @query("select doc_id, coalesce(text, '') as text from documents")
 def p6_decoded(spark, sf_dir):
     return tokens.decoded(tokens.encoded(table(spark, sf_dir, "documents")))
+
+
+@query()
+def p7_packed(spark, sf_dir):
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p7_summary(spark, sf_dir):
+    return packing.packing_summary(table(spark, sf_dir, "documents"))
