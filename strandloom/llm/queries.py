@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, overlaps, packing, pieces, seen, spans, tokens
+from . import levels, near, overlaps, packing, pieces, seen, spans, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,3 +151,13 @@ def p7_packed(spark, sf_dir):
 @query()
 def p7_summary(spark, sf_dir):
     return packing.packing_summary(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p8_found(spark, sf_dir):
+    return levels.demanding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
+
+
+@query()
+def p8_levels(spark, sf_dir):
+    return levels.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))

@@ -9,8 +9,6 @@ import unicodedata
 # Section headings in English, German and French.
 BODY = ("facts", "reasons", "sachverhalt", "erwägungen", "faits", "considérants")
 CLOSE = ("order", "dispositiv", "dispositif")
-# Frequent function words that tell the language.
-COMMON = {"en": "the of and that was to had not been is", "de": "der die das und nicht dass hat ist den zu", "fr": "le la les et que de un une pas est"}
 
 _WORDS = "|".join(w[0].upper() + w[1:] + "|" + w.upper() for w in (*BODY, *CLOSE))
 _MARK = r"(?:[\[(¶§]\s*)?\d"
@@ -22,8 +20,6 @@ _BROKEN = re.compile(r"(\w)-\s*\n\s*([^\W\d_A-ZÀ-Þ])")
 _CITED = re.compile(r"\((?:s[ec][ec]|vgl|cf|v[gq]l)\b(?:[^()]|\([^()]{0,60}\)){0,200}\)", re.I)
 _SPEECH = re.compile(r"[“„«]([^“”„«»]{0,4000})[”»“]|\"[^\"]{0,2000}\"")
 _PAGE = re.compile(r"\n[^\n]{0,60}?(?:\b(?:page|seite) \d+ (?:of|von|sur) \d+[^\n]{0,30}|[–—-] ?\d+ ?[–—-]|\t\d+|\bpage \d+|\bseite \d+)[ \t]*(?=\n)", re.I)
-WORD = re.compile(r"[^\W\d_]+")
-_STOP = re.compile(r"[.!?][”»\"]?(?:\s|$)|\n\s*\n")
 
 
 def _repaired(text: str) -> str:
@@ -83,23 +79,3 @@ def court_written(text: str | None) -> str:
     text = _PAGE.sub("\n", text)
     text = _CITED.sub(" ", text)
     return _SPEECH.sub(" ", text)
-
-
-def items(text: str) -> tuple[str | None, list[str]]:
-    """The language of a court-written text, and what occurs in it: words, sentence lengths and depths of clauses."""
-    out: list[str] = []
-    votes = dict.fromkeys(COMMON, 0)
-    for sentence in _STOP.split(text.lower()):
-        words = WORD.findall(sentence)
-        if len(words) < 2:
-            continue
-        out += words
-        for n, sign in ((len(words), "#words"), (sentence.count(","), "#commas")):
-            out += [f"{sign}{n.bit_length() if sign == '#words' else min(n, 8)}"] * 3
-    for lang, common in _COMMON.items():
-        votes[lang] = sum(w in common for w in out)
-    best = max(votes, key=votes.get)
-    return (best if votes[best] else None), out
-
-
-_COMMON = {lang: frozenset(words.split()) for lang, words in COMMON.items()}
