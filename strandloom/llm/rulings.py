@@ -36,9 +36,11 @@ def _repaired(text: str) -> str:
 
 
 def _near(word: str) -> str | None:
-    """The heading that a misread word stands for: same length but for one, few letters different."""
+    """The heading that a misread word stands for: one letter different in short ones, two in long ones, or one letter more or less."""
     word = word.lower()
     for h in (*BODY, *CLOSE):
+        if len(h) == 5 == len(word) and h[0] == word[0] and sum(a == b for a, b in zip(h, word)) == 4:
+            return h
         if len(h) > 5 and abs(len(h) - len(word)) <= 1:
             same = sum(a == b for a, b in zip(h, word)), sum(a == b for a, b in zip(h[::-1], word[::-1]))
             if max(same) >= len(h) - 2 or (same[0] and sum(same) >= len(h) - 1):
@@ -67,7 +69,7 @@ def court_written(text: str | None) -> str:
         return ""
     text = plain(text)
     found = [(m.start(), m.end(), m[1].lower()) for m in _HEADING.finditer(text)]
-    if not any(w in BODY for _, _, w in found):
+    if len({w for _, _, w in found if w in BODY}) < 2:
         found += [(m.start(1), m.end(1), w) for m in _LOOSE.finditer(text) if (w := _near(m[1]))]
         found.sort()
     body = [(e, w) for _, e, w in found if w in BODY]
