@@ -72,12 +72,13 @@ def court_written(text: str | None) -> str:
     if len({w for _, _, w in found if w in BODY}) < 2:
         found += [(m.start(1), m.end(1), w) for m in _LOOSE.finditer(text) if (w := _near(m[1]))]
         found.sort()
-    body = [(e, w) for _, e, w in found if w in BODY]
-    if not body:
+    found = list(dict.fromkeys(found))
+    last = max((i for i, (_, _, w) in enumerate(found) if w in BODY), default=None)
+    if last is None:
         return ""
-    start = body[0][0]
-    close = [s for s, _, w in found if w in CLOSE and s >= body[-1][0]]
-    text = text[start : close[0] if close else None]
+    first = next(i for i, (_, _, w) in enumerate(found) if w in BODY)
+    starts = [s for s, _, _ in found[1:]] + [len(text)]
+    text = "\n".join(text[found[i][1] : starts[i]] for i in range(first, last + 1))
     text = _PAGE.sub("\n", text)
     text = _CITED.sub(" ", text)
     return _SPEECH.sub(" ", text)
