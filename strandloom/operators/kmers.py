@@ -1,31 +1,96 @@
-"""k-mers of records: windows, canonical forms, sets and counts."""
+"""k-mers of records: windows, canonical forms, sets, counts, membership."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.letters import is_valid, reverse_complement
+from ..runtime import spread
+
 #: Letters of a piece from which windows are taken; substring walks a text from its start.
-CHUNK = 1024
+CHUNK = 512
+
 
+def _k(k: int | str) -> Column:
+    return F.lit(k) if isinstance(k, int) else F.col(k)
 
-def windows(records: DataFrame, k: int, key: str = "rid", both_strands: bool = True) -> DataFrame:
-    """Every window of k letters of ``seq``: key, pos (from 0), u (upper case), c (canonical), up (first letter is upper case).
 
-    Anything but ACGT in either case breaks windows. Null, empty and short texts give none.
+def windows(records: DataFrame, k: int | str, *keys: str, both_strands: bool = True) -> DataFrame:
+    """Every window of k letters of ``seq``: keys, pos (from 0), u (upper case), c (canonical), up (first letter is upper case).
+
+    k is a number or a column. Anything but ACGT in either case breaks windows. Null, empty and short texts give none.
     """
-    seq = F.col("seq")
+    keys = keys or ("rid",)
+    extra = [k] if isinstance(k, str) and k not in keys else []
+    k = _k(k)
     pieces = (
-        records.where(F.length("seq") >= k)
-        .select(key, "seq", F.explode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(CHUNK))).alias("off"))
-        .select(key, "off", F.substr("seq", F.col("off") + 1, F.lit(CHUNK + k - 1)).alias("part"))
-        .where(F.length("part") >= k)
-    )
-    w = F.substr("part", F.col("j") + 1, F.lit(k))
-    out = pieces.select(key, "off", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("j")).select(
-        key, (F.col("off") + F.col("j")).cast("bigint").alias("pos"), w.alias("w")
-    )
-    out = out.where(~F.col("w").rlike("[^ACGTacgt]"))
+        spread(records.select(*keys, *extra, "seq")).where(F.length("seq") >= k)
+        .select(*keys, *extra, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(CHUNK))).alias("off"))
+        .select(*keys, *extra, "off", F.substr("seq", F.col("off") + 1, k + (CHUNK - 1)).alias("part"))
+    )
+    cut = pieces.select(*keys, *extra, "off", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("j"))
+    out = cut.select(*keys, *extra, (F.col("off") + F.col("j")).cast("bigint").alias("pos"), F.substr("part", F.col("j") + 1, k).alias("w")).where(is_valid("w"))
     u = F.upper("w")
-    rc = F.reverse(F.translate(u, "ACGT", "TGCA"))
-    return out.select(key, "pos", u.alias("u"), (F.least(u, rc) if both_strands else u).alias("c"), (F.substr("w", F.lit(1), F.lit(1)) <= "Z").alias("up"))
+    return out.select(*keys, *extra, "pos", u.alias("u"), (F.least(u, reverse_complement("w")) if both_strands else u).alias("c"), (F.left("w", F.lit(1)) <= "Z").alias("up"))
+
+
+def kmer_set(records: DataFrame, k: int, *keys: str, both_strands: bool = True, upper_only: bool = False) -> DataFrame:
+    """The distinct canonical k-mers of records: keys (none: of all together), c."""
+    w = windows(records, k, *(keys or ("rid",)), both_strands=both_strands)
+    return (w.where("up") if upper_only else w).select(*keys, "c").distinct()
+
+
+def with_complements(kmers: DataFrame) -> DataFrame:
+    """Every k-mer and its reverse complement, as a multiset: u."""
+    return kmers.select(F.col("c").alias("u")).unionAll(kmers.select(reverse_complement("c").alias("u")))
+
+
+def without_repeats(kmers: DataFrame, k: int) -> DataFrame:
+    """A multiset u with each k-mer once, for even k a palindrome up to twice."""
+    most = F.when((F.lit(k) % 2 == 0) & (F.col("u") == reverse_complement("u")), 2).otherwise(1)
+    counted = kmers.groupBy("u").agg(F.count("*").alias("n"))
+    return counted.select("u", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), most))).alias("i")).select("u")
+
+
+def frequent(records: DataFrame, k: int, least: int, *keys: str) -> DataFrame:
+    """Canonical k-mers that occur at least so often: keys, c, n."""
+    return windows(records, k, *(keys or ("rid",))).groupBy(*keys, "c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def contained(kmers: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``kmers`` (c) that ``known`` (c) has."""
+    return kmers.join(known.select("c").distinct(), "c", "left_semi")
+
+
+def erased(kmers: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``kmers`` (c) that ``known`` (c) doesn't have."""
+    return kmers.join(known.select("c").distinct(), "c", "left_anti")
+
+
+def one_of_each_pair(kmers: DataFrame) -> DataFrame:
+    """Of k-mers u, one of each complementary pair: the smaller."""
+    return kmers.select(F.least("u", reverse_complement("u")).alias("u")).distinct()
+
+
+def having_prefix(kmers: DataFrame, d: int) -> DataFrame:
+    """k-mers u whose last d letters are the first d of another row or their own."""
+    return kmers.withColumn("x", F.right("u", F.lit(d))).join(kmers.select(F.left("u", F.lit(d)).alias("x")).distinct(), "x", "left_semi").select("u")
+
+
+def by_prefix(kmers: DataFrame, letters: int = 4, parts: int | None = None) -> DataFrame:
+    """k-mers u dealt to partitions by ranges of their first letters, for locality only."""
+    key = F.left("u", F.lit(letters))
+    return kmers.repartitionByRange(parts, key) if parts else kmers.repartitionByRange(key)
+
+
+def first_windows(records: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
+    """Where each canonical k-mer stands first, in the order of (rid, pos): rid, pos, c. A frequent k-mer is combined before the shuffle."""
+    w = windows(records, k, both_strands=both_strands)
+    return w.groupBy("c").agg(F.min(F.struct("rid", "pos")).alias("at")).select("at.rid", "at.pos", "c")
+
+
+def islands(rows: DataFrame, keys: list[str], at: str = "pos") -> DataFrame:
+    """Runs of consecutive positions: keys, first, last."""
+    by = Window.partitionBy(*keys).orderBy(at)
+    return rows.select(*keys, at, (F.col(at) - F.row_number().over(by)).alias("_g")).groupBy(*keys, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("_g")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kmers
+from ..functions import letters
+from ..operators import convert, kmers, masks, measures, superstrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +30,282 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+K = 31
+
+_CUT = f"""
+with texts as (select distinct rid, seq from fasta_record where rid is not null and length(seq) >= {K}),
+cut as (select rid, p as pos, seq[p + 1:p + {K}] as w from (select rid, seq, unnest(range(length(seq) - {K - 1})) as p from texts)),
+w as (select rid, pos, upper(w) as u, least(upper(w), reverse(translate(upper(w), 'ACGT', 'TGCA'))) as c, w[1:1] <= 'Z' as up from cut where translate(w, 'ACGTacgt', '') = '')
+"""
+
+
+def records(spark, sf_dir):
+    """The different records: a delivery that is repeated counts once."""
+    return table(spark, sf_dir, "fasta_record").where("rid is not null").select("rid", "name", "comment", "seq", "dataset").dropDuplicates(["rid", "seq"])
+
+
+def superstring_rows(spark, sf_dir):
+    return convert.usable(table(spark, sf_dir, "masked_superstring"))
+
+
+@query(_CUT + "select c, count(*) as n from w group by c")
 def kmer_counts(spark, sf_dir):
-    return kmers.windows(table(spark, sf_dir, "fasta_record"), 31).groupBy("c").agg(F.count("*").alias("n"))
+    """Canonical 31-mers of all records and how often they occur."""
+    return kmers.windows(records(spark, sf_dir), K).groupBy("c").agg(F.count("*").alias("n"))
+
+
+@query(_CUT + "select count(*) as total, count(distinct c) as distinct_kmers, count(distinct c) filter (where up) as upper_only from w")
+def kmer_totals(spark, sf_dir):
+    """Windows, distinct k-mers, and those with an upper-case start."""
+    each = kmers.windows(records(spark, sf_dir), K).groupBy("c").agg(F.count("*").alias("n"), F.max("up").alias("up"))
+    return each.agg(F.sum("n").alias("total"), F.count("*").alias("distinct_kmers"), F.count_if("up").alias("upper_only"))
+
+
+@query(_CUT + "select c, count(*) as n from w group by c having count(*) >= 3")
+def kmer_abundant(spark, sf_dir):
+    """K-mers that occur at least three times."""
+    return kmers.frequent(records(spark, sf_dir), K, 3)
+
+
+@query(_CUT + "select u, count(*) as n from w group by u")
+def kmer_counts_one_strand(spark, sf_dir):
+    """K1 on one strand."""
+    return kmers.windows(records(spark, sf_dir), K, both_strands=False).groupBy("u").agg(F.count("*").alias("n"))
+
+
+@query(_CUT + ", d as (select lower(trim(dataset)) as dataset, rid from fasta_record where dataset is not null group by all), s as (select distinct dataset, c from w join d using (rid)) select dataset, count(*) as n from s group by dataset")
+def kmers_by_dataset(spark, sf_dir):
+    """K2, K8: distinct canonical k-mers of each dataset, counted in two steps."""
+    rows = records(spark, sf_dir).where("dataset is not null").withColumn("dataset", F.lower(F.trim("dataset")))
+    return kmers.kmer_set(rows, K, "dataset").groupBy("dataset").agg(F.count("*").alias("n"))
+
+
+@query(_CUT + ", known as (select distinct c from kmer_known) select c, c in (select c from known) as known from (select distinct c from w)")
+def kmer_membership(spark, sf_dir):
+    """Which k-mers of the records are known ones."""
+    found, known = kmers.kmer_set(records(spark, sf_dir), K), table(spark, sf_dir, "kmer_known")
+    return kmers.contained(found, known).withColumn("known", F.lit(True)).union(kmers.erased(found, known).withColumn("known", F.lit(False)))
+
+
+@query("select c, cast(list_sum(list_transform(range(31), lambda i: (instr('ACGT', c[i + 1:i + 1]) - 1) * power(4, 30 - i)::hugeint)) as bigint) as number, c as back from (select distinct c from kmer_known)")
+def sorted_integers(spark, sf_dir):
+    """Known k-mers as sorted numbers, and back."""
+    known = table(spark, sf_dir, "kmer_known").distinct().withColumn("number", letters.to_number("c"))
+    return known.withColumn("back", letters.from_number("number", K)).orderBy("number")
+
+
+@query("select distinct c, c[1:10] as head, c[22:31] as tail, c[6:6] as sixth, instr('ACGT', c[6:6]) - 1 as code, reverse(translate(c, 'ACGT', 'TGCA')) as rc, c[1:1] || lower(c[2:12]) as shown, c[13:] as rest, least(c, reverse(translate(c, 'ACGT', 'TGCA'))) as canon from kmer_known")
+def kmer_parts(spark, sf_dir):
+    """Prefixes, suffixes, letters and strands of known k-mers."""
+    c = table(spark, sf_dir, "kmer_known").distinct()
+    return c.select("c", letters.prefix("c", 10).alias("head"), letters.suffix("c", 10).alias("tail"), letters.letter_at("c", 5).alias("sixth"), letters.nucleotide_code(letters.letter_at("c", 5)).cast("bigint").alias("code"), letters.reverse_complement("c").alias("rc"), letters.first_upper("c", 12).alias("shown"), letters.without_prefix("c", 12).alias("rest"), letters.canonical("c").alias("canon"))
+
+
+@query(_CUT + ", both_strands as (select c as u from (select distinct c from w) union all select reverse(translate(c, 'ACGT', 'TGCA')) from (select distinct c from w)) select substr(u, 1, 4) as head, count(*) as n, count(distinct u) as different from both_strands group by head")
+def complements_by_prefix(spark, sf_dir):
+    """K-mers with their complements, by their first letters."""
+    both = kmers.with_complements(kmers.kmer_set(records(spark, sf_dir), K))
+    each = both.groupBy("u").agg(F.count("*").alias("n")).groupBy(F.left("u", F.lit(4)).alias("head"))
+    return each.agg(F.sum("n").alias("n"), F.count("*").alias("different"))
+
+
+@query(_CUT + ", uu as (select distinct u from w) select u from uu a where exists (select 1 from uu b where b.u[1:30] = a.u[2:31])")
+def continued(spark, sf_dir):
+    """K-mers that another one continues, one strand."""
+    w = kmers.windows(records(spark, sf_dir), K, both_strands=False).select("u").distinct()
+    return kmers.having_prefix(w, K - 1)
+
+
+@query(_CUT + "select least(u, reverse(translate(u, 'ACGT', 'TGCA'))) as u from w group by 1")
+def one_of_pair(spark, sf_dir):
+    """One k-mer of each complementary pair."""
+    return kmers.one_of_each_pair(kmers.windows(records(spark, sf_dir), K, both_strands=False).select("u"))
+
+
+@query(_CUT + f""", firsts as (select c, min((rid, pos, u)) as f from w group by c),
+ones as (select f[1] as rid, f[2] as pos, f[3] as u from firsts),
+steps as (select *, least({K}, coalesce(lead(pos) over (partition by rid order by pos) - pos, {K})) as shown from ones)
+select rid, string_agg(u[1:1] || lower(u[2:shown]), '' order by pos) as part from steps group by rid""")
+def streaming_parts(spark, sf_dir):
+    """The streaming superstring, record by record."""
+    return superstrings.streaming(records(spark, sf_dir), K)
+
+
+_MS = """
+with ms as (select distinct ms_id, k, upper(superstring) as s, mask as m from masked_superstring where k > 0 and length(superstring) = length(mask) and length(mask) > 0 and translate(mask, '01', '') = '' and translate(superstring, 'ACGTacgt', '') = ''),
+cut as (select ms_id, k, p as pos, s[p + 1:p + k] as u, m[p + 1:p + 1] = '1' as up from (select *, unnest(range(length(s) - k + 1)) as p from ms)),
+w as (select *, least(u, reverse(translate(u, 'ACGT', 'TGCA'))) as c from cut),
+rep as (select distinct ms_id, c from w where up),
+placed as (select * from w semi join rep using (ms_id, c))
+"""
+_RUNS = "select ms_id, min(pos) as first, max(pos) as last from (select *, pos - row_number() over (partition by ms_id order by pos) as g from {0}) group by ms_id, g"
+
+
+@query("select ms_id, case when superstring is null then 'no superstring' when mask is null then 'no mask' when translate(superstring, 'ACGTacgt', '') <> '' then 'letters' when translate(mask, '01', '') <> '' then 'digits' when length(mask) <> length(superstring) then 'length' end as fault from masked_superstring")
+def superstring_faults(spark, sf_dir):
+    """M8: what is wrong with each masked superstring."""
+    return convert.faults(table(spark, sf_dir, "masked_superstring"))
+
+
+@query(_MS + "select ms_id, c from rep")
+def represented_kmers(spark, sf_dir):
+    """M9, K9: the k-mers that each masked superstring stands for."""
+    return masks.represented(superstring_rows(spark, sf_dir))
+
+
+@query(_MS + ", ones as (select ms_id, min(pos) as pos from placed group by ms_id, c) " + _RUNS.format("ones"))
+def mask_fewest_ones(spark, sf_dir):
+    """M1: runs of the mask with the fewest ones."""
+    return masks.runs(masks.fewest_ones(masks.placed(superstring_rows(spark, sf_dir))))
+
+
+@query(_MS + _RUNS.format("placed"))
+def mask_most_ones(spark, sf_dir):
+    """Runs of the mask with the most ones, which are the intervals."""
+    return masks.runs(masks.most_ones(masks.placed(superstring_rows(spark, sf_dir))))
+
+
+_INSIDE = _MS + ", spans as (" + _RUNS.format("placed") + """), inside as (select distinct p.ms_id, s.first as i, c from placed p join spans s on s.ms_id = p.ms_id and p.pos between s.first and s.last),
+forced as (select distinct ms_id, min(i) as i from inside group by ms_id, c having count(*) = 1),
+covered as (select distinct ms_id, c from inside semi join forced using (ms_id, i)),
+undecided as (select * from inside anti join forced using (ms_id, i) anti join covered using (ms_id, c))
+"""
+
+
+@query(_INSIDE + "select ms_id, i as interval, true as forced from forced union all select distinct ms_id, i, false from undecided")
+def mask_presolve(spark, sf_dir):
+    """Forced intervals, and those that are undecided."""
+    forced, left = masks.presolved(masks.intervals(masks.placed(superstring_rows(spark, sf_dir))))
+    return forced.withColumn("forced", F.lit(True)).union(left.select("ms_id", "interval").distinct().withColumn("forced", F.lit(False)))
+
+
+@query(_INSIDE + "select ms_id, first, last from spans s where exists (select 1 from forced f where f.ms_id = s.ms_id and f.i = s.first) or exists (select 1 from undecided u where u.ms_id = s.ms_id)")
+def mask_fewest_runs_approximately(spark, sf_dir):
+    """M4: forced intervals, or all where those don't do."""
+    return masks.fewest_runs_approximately(masks.placed(superstring_rows(spark, sf_dir)))
+
+
+@query(_MS + "select ms_id, c from rep")
+def mask_fewest_runs_decoded(spark, sf_dir):
+    """M3: the k-mers under the mask with few runs; they must be the represented ones."""
+    ms = superstring_rows(spark, sf_dir)
+    found = masks.written(ms, masks.fewest_runs(masks.placed(ms)))
+    return masks.represented(found)
+
+
+@query()
+def mask_fewest_runs(spark, sf_dir):
+    """M3: runs of the mask with few runs."""
+    return masks.fewest_runs(masks.placed(superstring_rows(spark, sf_dir)))
+
+
+@query(_MS + "select ms.ms_id, coalesce(max(pos) = any_value(length(s) - ms.k), false) as last_represented from ms left join placed p using (ms_id) group by ms.ms_id")
+def mask_convention(spark, sf_dir):
+    """M7: whether the last window is represented."""
+    return masks.last_is_represented(superstring_rows(spark, sf_dir))
+
+
+@query(_MS + ", letters as (select ms_id, unnest(string_split(s, '')) as a, unnest(string_split(m, '')) as b, unnest(range(length(s))) as p from ms) select ms_id, string_agg(case when b = '1' then a else lower(a) end, '' order by p) as seq from letters group by ms_id")
+def joined_superstrings(spark, sf_dir):
+    """Mask and superstring as one text."""
+    return convert.join_case(superstring_rows(spark, sf_dir)).select("ms_id", "seq")
+
+
+@query(_MS + "select ms_id, m as mask, s as superstring from ms")
+def split_superstrings(spark, sf_dir):
+    """Joined and split again."""
+    return convert.split_case(convert.join_case(superstring_rows(spark, sf_dir)).select("ms_id", "seq")).select("ms_id", "mask", "superstring")
+
+
+@query(_MS + ", bits as (select ms_id, k, s, p as pos from (select *, unnest(range(length(s))) as p from ms) where m[p + 1:p + 1] = '1'), runs as (" + _RUNS.format("bits") + ") select ms_id, row_number() over (partition by ms_id order by first) - 1 as sid, s[first + 1:last + k] as seq from runs join ms using (ms_id)")
+def strings_of_superstrings(spark, sf_dir):
+    """V3: the strings of each masked superstring."""
+    return convert.to_strings(superstring_rows(spark, sf_dir)).withColumn("sid", F.col("sid").cast("bigint"))
+
+
+@query("select distinct rid, upper(seq)[1:length(seq) - 30] || lower(seq[length(seq) - 29:]) as part from fasta_record where rid is not null and length(seq) >= 31")
+def strings_to_superstring(spark, sf_dir):
+    """V4, P5: records as parts of a masked superstring."""
+    return convert.from_strings(records(spark, sf_dir), K).select("rid", "part")
+
+
+@query(_MS + "select ms_id, translate(m, '01', 'AC') as swapped, m as mask from ms")
+def swapped_masks(spark, sf_dir):
+    """Masks in two letters and back."""
+    rows = superstring_rows(spark, sf_dir).withColumn("swapped", F.col("mask"))
+    return convert.swap_alphabet(convert.swap_alphabet(convert.swap_alphabet(rows, "swapped"), "mask"), "mask", back=True).select("ms_id", "swapped", "mask")
+
+
+_EF_SQL = """
+, a as (select *, len - n + 1 as u from b), l as (select *, case when u > n then length(bin(u // n)) - 1 else 0 end as low from a),
+h as (select *, n + (u >> low) + 2 as high from l), p as (select *, length(bin(high - 1)) as ptr from h)
+"""
+_EF_BITS = "cast(64 * ceil((((high - n) // 512) * ptr + (n // 256) * ptr + high + n * low) / 64.0) as bigint)"
+
+
+@query(_MS + ", bits as (select ms_id, unnest(range(length(m))) as p, unnest(string_split(m, '')) as x from ms), f as (select *, lag(x) over (partition by ms_id order by p) as y from bits), b as (select ms_id, count(*) as len, count(*) filter (where x = '1') as ones, count(*) filter (where x = '1' and y is distinct from '1') as runs, 1 + count(*) filter (where x <> y) as n from f group by ms_id)" + _EF_SQL + f"select ms_id, len as length, ones, runs, {_EF_BITS} as elias_fano from p")
+def mask_sizes(spark, sf_dir):
+    """E1, E2, E4, S13 and the Elias-Fano size: lengths, ones, runs and bits of masks."""
+    return measures.mask_sizes(superstring_rows(spark, sf_dir))
+
+
+@query(f"with r as (select distinct * from run_result where superstring > 1 and mask > 1), b as (select *, superstring - 1 as len, 2 * (mask - 1) as n from r)" + _EF_SQL + f"select dataset, k, method, superstring, mask, {_EF_BITS} as elias_fano from p")
+def report_mask_bits(spark, sf_dir):
+    """D17 and the Elias-Fano size of reported masks."""
+    return measures.report_sizes(table(spark, sf_dir, "run_result"))
+
+
+_METHODS = ["unitigs", "simplitigs", "matchtigs", "greedy-minone", "greedy-maxone", "pareto-8", "pareto-512", "lowerbound_length"]
+
+
+@query("with r as (select distinct * from run_result where dataset is not null) select dataset, k, " + ", ".join(f"max(superstring) filter (where method = '{m}' and superstring >= 0) as \"{m}\"" for m in _METHODS) + " from r group by dataset, k")
+def report_grid(spark, sf_dir):
+    """Reported lengths, a column a method."""
+    return measures.report_grid(table(spark, sf_dir, "run_result"), _METHODS)
+
+
+@query("with r as (select distinct dataset, k, method, superstring, mask from run_result where dataset is not null and k is not null) select r.dataset, r.k, r.method, r.superstring / b.superstring as over_bound from r join r b on r.dataset = b.dataset and r.k = b.k and b.method = 'lowerbound_length' where r.superstring > 0 and b.superstring > 0 and r.method <> 'lowerbound_length'")
+def report_over_bound(spark, sf_dir):
+    """Reported lengths over the lower bound of their dataset and k."""
+    r = table(spark, sf_dir, "run_result").select("dataset", "k", "method", "superstring", "mask").distinct().where("superstring > 0")
+    bound = r.where("method = 'lowerbound_length'").select("dataset", "k", F.col("superstring").alias("bound"))
+    return r.where("method <> 'lowerbound_length'").join(bound, ["dataset", "k"]).select("dataset", "k", "method", (F.col("superstring") / F.col("bound")).alias("over_bound"))
+
+
+@query(_MS + ", bits as (select ms_id, p as pos from (select *, unnest(range(length(m))) as p from ms) where m[p + 1:p + 1] = '1'), runs as (" + _RUNS.format("bits") + ") select ms_id, last - first + 1 as run_length, count(*) as n from runs group by all")
+def mask_run_lengths(spark, sf_dir):
+    """Lengths of runs of ones."""
+    return measures.run_lengths(convert.ones(superstring_rows(spark, sf_dir)))
+
+
+@query(_MS + ", bits as (select ms_id, unnest(range(length(m))) as pos, unnest(string_split(m, '')) as x from ms), f as (select *, lag(x, 1, '1') over (partition by ms_id order by pos) as y from bits) select ms_id, pos from f where x <> y")
+def mask_flips(spark, sf_dir):
+    """Positions at which masks change."""
+    return measures.flips(superstring_rows(spark, sf_dir)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(_MS + "select ms_id, count(*) as total, count(distinct c) as distinct_kmers from w group by ms_id")
+def superstring_kmers(spark, sf_dir):
+    """K-mers of whole superstrings, whatever the mask."""
+    rows = superstring_rows(spark, sf_dir).withColumnRenamed("superstring", "seq")
+    return measures.minimality(kmers.windows(rows, "k", "ms_id"), "ms_id")
+
+
+@query(_CUT + ", a as (select distinct c from w), b as (select distinct c from kmer_known where c is not null) s as (select (select count(*) from a) as count_a, (select count(*) from b) as count_b, (select count(*) from (select c from a union select c from b)) as count_union) select *, count_a = count_union and count_b = count_union as equal from s")
+def set_equality(spark, sf_dir):
+    """E5: are the records' k-mers the known ones?"""
+    return measures.set_equality(kmers.kmer_set(records(spark, sf_dir), K), table(spark, sf_dir, "kmer_known").where("c is not null"))
+
+
+@query(_CUT + ", a as (select count(distinct c) as n from w) select n as count_a, n as count_b, n as count_union, true as equal from a")
+def streaming_verified(spark, sf_dir):
+    """The streaming superstring decoded again has the same k-mers."""
+    source = records(spark, sf_dir)
+    parts = superstrings.streaming(source, K).withColumnRenamed("part", "seq")
+    return measures.set_equality(kmers.kmer_set(source, K), kmers.kmer_set(parts, K, upper_only=True))
+
+
+@query()
+def superstring_bytes(spark, sf_dir):
+    """Superstrings compressed by xz and bzip2."""
+    return measures.compressed_sizes(superstring_rows(spark, sf_dir), "ms_id", "superstring")
