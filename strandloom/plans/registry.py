@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import letters
-from ..operators import convert, kmers, masks, measures, superstrings
+from ..operators import convert, graph, greedy, kmers, masks, measures, postings, superstrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -291,7 +291,7 @@ def superstring_kmers(spark, sf_dir):
     return measures.minimality(kmers.windows(rows, "k", "ms_id"), "ms_id")
 
 
-@query(_CUT + ", a as (select distinct c from w), b as (select distinct c from kmer_known where c is not null) s as (select (select count(*) from a) as count_a, (select count(*) from b) as count_b, (select count(*) from (select c from a union select c from b)) as count_union) select *, count_a = count_union and count_b = count_union as equal from s")
+@query(_CUT + ", a as (select distinct c from w), b as (select distinct c from kmer_known where c is not null), s as (select (select count(*) from a) as count_a, (select count(*) from b) as count_b, (select count(*) from (select c from a union select c from b)) as count_union) select *, count_a = count_union and count_b = count_union as equal from s")
 def set_equality(spark, sf_dir):
     """E5: are the records' k-mers the known ones?"""
     return measures.set_equality(kmers.kmer_set(records(spark, sf_dir), K), table(spark, sf_dir, "kmer_known").where("c is not null"))
@@ -309,3 +309,184 @@ def streaming_verified(spark, sf_dir):
 def superstring_bytes(spark, sf_dir):
     """Superstrings compressed by xz and bzip2."""
     return measures.compressed_sizes(superstring_rows(spark, sf_dir), "ms_id", "superstring")
+
+
+_INDEX = """
+with words as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) as term from documents where doc_id is not null),
+idx as (select term, doc_id, count(*) as freq from words group by all),
+asked as (select doc_id as qid, unnest(regexp_extract_all(lower(court), '[a-zà-ÿ]+')) as term from documents where doc_id % 50 = 0),
+q as (select qid, term, count(*) as times from asked group by all),
+need as (select qid, count(*) as need from q group by qid),
+lens as (select doc_id, sum(freq) as len from idx group by doc_id),
+norms as (select doc_id, len / (select avg(len) from lens) as norm from lens),
+w as (select term, count(*) as df, greatest(1e-6, ln(((select count(*) from lens) - count(*) + 0.5) / (count(*) + 0.5))) as idf from idx group by term),
+parts as (select qid, doc_id, times * idf * freq / (freq + 1.2 * (0.5 + 0.5 * norm)) as score from q join idx using (term) join w using (term) join norms using (doc_id)),
+total as (select qid, doc_id, round(sum(score), 6) as score, count(*) as have from parts group by qid, doc_id)
+"""
+_RANKED = "select qid, rank, doc_id, score from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from total {0}) where rank <= 10"
+
+
+def _index(spark, sf_dir):
+    return postings.postings(table(spark, sf_dir, "documents"))
+
+
+def _asked(spark, sf_dir):
+    """Every 50th document asks for the words of its court."""
+    return postings.query_terms(table(spark, sf_dir, "documents").where("doc_id % 50 = 0"), "doc_id", "court")
+
+
+@query(_INDEX + "select term, doc_id, freq from idx")
+def index_postings(spark, sf_dir):
+    """The inverted lists of all documents."""
+    return _index(spark, sf_dir)
+
+
+@query(_INDEX + "select need.qid, count(have) filter (where have = need) as n from need left join total using (qid) group by need.qid")
+def index_and(spark, sf_dir):
+    """Documents with every term."""
+    return postings.matching_all(_index(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(_INDEX + "select need.qid, count(doc_id) as n from need left join total using (qid) group by need.qid")
+def index_or(spark, sf_dir):
+    """Documents with any term."""
+    return postings.matching_any(_index(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(_INDEX + _RANKED.format(""))
+def index_ranked_or(spark, sf_dir):
+    """The ten best documents by BM25."""
+    return postings.ranked(_index(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(_INDEX + _RANKED.format("join need using (qid) where have = need"))
+def index_ranked_and(spark, sf_dir):
+    """The ten best documents of those with every term."""
+    return postings.ranked(_index(spark, sf_dir), _asked(spark, sf_dir), every_term=True)
+
+
+@query(_INDEX + "select term, round(max(idf * freq / (freq + 1.2 * (0.5 + 0.5 * norm))), 6) as best from idx join w using (term) join norms using (doc_id) group by term")
+def index_best_weights(spark, sf_dir):
+    """Each term's largest score."""
+    return postings.best_weights(_index(spark, sf_dir))
+
+
+@query(_INDEX + "select term, count(*) as n from idx group by term having count(*) > 10")
+def index_long_lists(spark, sf_dir):
+    """Lists of more than ten documents."""
+    return postings.long_lists(_index(spark, sf_dir), 10)
+
+
+@query(_INDEX + "select qid, term, times from q where term in (select term from idx)")
+def index_known_queries(spark, sf_dir):
+    """The queries' terms that the index has."""
+    return postings.known_queries(_asked(spark, sf_dir), _index(spark, sf_dir))
+
+
+@query(_INDEX + "select least(need, 5) as terms, count(*) as queries from need group by 1")
+def index_query_sizes(spark, sf_dir):
+    """X11: queries by their number of terms."""
+    return postings.by_size(_asked(spark, sf_dir))
+
+
+def _sets(spark, sf_dir):
+    return masks.represented(superstring_rows(spark, sf_dir))
+
+
+_NODES = _MS + ", nodes as (select ms_id, c as u from rep union select ms_id, reverse(translate(c, 'ACGT', 'TGCA')) from rep), edges as (select a.ms_id, a.u, b.u as v from nodes a join nodes b on a.ms_id = b.ms_id and a.u[2:] = b.u[:-2])"
+
+
+@query(_NODES + ", d as (select ms_id, u, (select count(*) from edges e where e.ms_id = n.ms_id and e.u = n.u) as outs, (select count(*) from edges e where e.ms_id = n.ms_id and e.v = n.u) as ins from nodes n) select ms_id, outs, ins, count(*) as n from d group by ms_id, outs, ins")
+def graph_degrees(spark, sf_dir):
+    """Edges of each set's graph, by degree."""
+    return graph.degree_classes(graph.oriented(_sets(spark, sf_dir), "ms_id"), "ms_id")
+
+
+@query(_NODES + """, outs as (select ms_id, u, min(v) as v from edges group by ms_id, u having count(*) = 1), ins as (select ms_id, v from edges group by ms_id, v having count(*) = 1)
+select ms_id, u, v from outs semi join ins using (ms_id, v) where u <> v and v <> reverse(translate(u, 'ACGT', 'TGCA'))""")
+def graph_unary_links(spark, sf_dir):
+    """The edges inside unitigs."""
+    return graph.unary_links(graph.oriented(_sets(spark, sf_dir), "ms_id"), "ms_id")
+
+
+@query(_MS + "select ms_id, c from rep")
+def graph_unitigs_decoded(spark, sf_dir):
+    """The k-mers of all unitigs, which must be the sets again, each once."""
+    sets = _sets(spark, sf_dir)
+    k = superstring_rows(spark, sf_dir).select("ms_id", "k").distinct()
+    return kmers.windows(graph.unitigs(sets, "ms_id").join(k, "ms_id"), "k", "ms_id").select("ms_id", "c")
+
+
+@query()
+def graph_unitigs(spark, sf_dir):
+    """Unitigs of each set."""
+    return graph.unitigs(_sets(spark, sf_dir), "ms_id")
+
+
+_OVERLAPS = _NODES + """, tails as (select ms_id, u, d, u[length(u) - d + 1:] as x from (select *, unnest(range(1, length(u))) as d from nodes)),
+heads as (select distinct ms_id, d, u[:d] as x from (select *, unnest(range(1, length(u))) as d from nodes)),
+best as (select ms_id, u, max(d) as d from tails semi join heads using (ms_id, d, x) group by ms_id, u),
+costs as (select n.ms_id, length(n.u) - coalesce(d, 0) as j from nodes n left join best using (ms_id, u))
+"""
+
+
+@query(_OVERLAPS + "select ms_id, cast(floor(sum(case when j = 1 then 1 else j + 7 end) / 2) as bigint) as bound from costs group by ms_id")
+def pareto_bound_runs(spark, sf_dir):
+    """Lower bound of length and 7 for each run."""
+    return graph.pareto_bound(graph.oriented(_sets(spark, sf_dir), "ms_id"), "ms_id", penalty=7)
+
+
+@query(_OVERLAPS + "select ms_id, cast(floor(sum(case when j = 1 then 1 else j + 2 * (j - 1) end) / 2) as bigint) as bound from costs group by ms_id")
+def pareto_bound_zeros(spark, sf_dir):
+    """Lower bound of length and 2 for each zero."""
+    return graph.pareto_bound(graph.oriented(_sets(spark, sf_dir), "ms_id"), "ms_id", penalty=2, runs=False)
+
+
+@query(_OVERLAPS + "select ms_id, j as missing, count(*) as n from costs group by all")
+def overlap_classes(spark, sf_dir):
+    """How many letters each k-mer lacks at its longest overlap."""
+    found = graph.longest_overlaps(graph.oriented(_sets(spark, sf_dir), "ms_id"), "ms_id")
+    return found.groupBy("ms_id", (F.length("u") - F.col("overlap")).alias("missing")).agg(F.count("*").alias("n"))
+
+
+def _decoded(spark, sf_dir, parts):
+    """The k-mers of superstrings in parts, as a set."""
+    k = superstring_rows(spark, sf_dir).select("ms_id", "k").distinct()
+    return kmers.windows(greedy.superstring(parts, "ms_id").join(k, "ms_id"), "k", "ms_id").where("up").select("ms_id", "c").distinct()
+
+
+@query(_MS + "select ms_id, c from rep")
+def simplitigs_decoded(spark, sf_dir):
+    """All windows of the simplitigs, as a multiset: the sets again, each k-mer once."""
+    k = superstring_rows(spark, sf_dir).select("ms_id", "k").distinct()
+    return kmers.windows(greedy.simplitigs(_sets(spark, sf_dir), "ms_id").join(k, "ms_id"), "k", "ms_id").select("ms_id", "c")
+
+
+@query(_MS + "select ms_id, c from rep")
+def global_greedy_decoded(spark, sf_dir):
+    """The k-mers of the global greedy superstring."""
+    return _decoded(spark, sf_dir, greedy.joined(_sets(spark, sf_dir), "ms_id"))
+
+
+@query(_MS + "select ms_id, c from rep")
+def local_greedy_decoded(spark, sf_dir):
+    """The k-mers of the local greedy superstring."""
+    return _decoded(spark, sf_dir, greedy.joined(_sets(spark, sf_dir), "ms_id", deepest=5))
+
+
+@query(_MS + "select ms_id, c from rep")
+def pareto_decoded(spark, sf_dir):
+    """The k-mers of a superstring with few runs, 8 letters for a run."""
+    return _decoded(spark, sf_dir, greedy.joined(_sets(spark, sf_dir), "ms_id", penalty=8, steps=8))
+
+
+@query()
+def superstring_sizes(spark, sf_dir):
+    """Length, ones and runs of the global greedy superstring."""
+    return greedy.sizes(greedy.joined(_sets(spark, sf_dir), "ms_id"), "ms_id")
+
+
+@query()
+def length_bound(spark, sf_dir):
+    """L1: lower bound of the length."""
+    return greedy.length_bound(_sets(spark, sf_dir), "ms_id")
