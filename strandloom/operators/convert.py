@@ -53,7 +53,7 @@ def from_strings(records: DataFrame, k: int) -> DataFrame:
 
 def concatenated(parts: DataFrame, key: str, order: str, column: str = "part") -> DataFrame:
     """The parts of each key in order, as one text: key, seq. For a sink; the parts themselves are the distributed form."""
-    return parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, column))).alias("x")).select(key, F.expr(f"array_join(transform(x, y -> y.{column}), '')").alias("seq"))
+    return parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, column))).alias("_parts")).select(key, F.expr(f"array_join(transform(_parts, y -> y.{column}), '')").alias("seq"))
 
 
 def swap_alphabet(rows: DataFrame, column: str = "mask", back: bool = False) -> DataFrame:

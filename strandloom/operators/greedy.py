@@ -6,7 +6,8 @@ one greedy pass over all of them would take), drops a join from every ring, and
 The rounds are joins and groupings by end; nothing is decided in one task.
 
 In the mode for both strands each join has a mirror on the other strand and is taken with it. A string and its reverse
-complement are one class, and classes are joined to paths, never to rings; so no k-mer is written on both strands.
+complement are one class, and classes are joined to paths, never to rings; so no k-mer is written on both strands. A string that
+is its own reverse complement (even k only) stays by itself.
 """
 
 from __future__ import annotations
@@ -64,7 +65,9 @@ def _mirror_key(both_strands: bool) -> Column:
 def _taken(joins: DataFrame, key: str, both_strands: bool, rings: bool) -> DataFrame:
     """The joins that the greedy pass takes. ``rings``: joins may close rings and a string may follow itself."""
     allowed = F.col("a") != reverse_complement("b") if both_strands else F.lit(True)
-    left = stage(joins.where(allowed if rings else (F.col("cls_a") != F.col("cls_b"))).withColumn("rank", F.struct("cost", _mirror_key(both_strands).alias("tie"))))
+    if both_strands and not rings:
+        allowed = allowed & (F.col("a") != reverse_complement("a")) & (F.col("b") != reverse_complement("b"))
+    left = stage(joins.where(allowed if rings else allowed & (F.col("cls_a") != F.col("cls_b"))).withColumn("rank", F.struct("cost", _mirror_key(both_strands).alias("tie"))))
     out = None
     while True:
         best_a, best_b = (left.groupBy(key, x).agg(F.min("rank").alias("rank")) for x in "ab")
