@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.letters import is_valid, reverse_complement
+from ..functions import packed
+from ..functions.letters import from_number, is_valid, reverse_complement
 from ..runtime import spread
 
 #: Letters of a piece from which windows are taken; substring walks a text from its start.
@@ -36,7 +41,10 @@ def windows(records: DataFrame, k: int | str, *keys: str, both_strands: bool = T
 
 
 def kmer_set(records: DataFrame, k: int, *keys: str, both_strands: bool = True, upper_only: bool = False) -> DataFrame:
-    """The distinct canonical k-mers of records: keys (none: of all together), c."""
+    """The distinct canonical k-mers of records: keys (none: of all together), c. Up to 31 letters they are numbers until they are distinct."""
+    if k <= 31 and len(keys) <= 1:
+        rows = counted(records, k, *keys, both_strands=both_strands)
+        return (rows.where("up") if upper_only else rows).select(*keys, from_number("number", k).alias("c"))
     w = windows(records, k, *(keys or ("rid",)), both_strands=both_strands)
     return (w.where("up") if upper_only else w).select(*keys, "c").distinct()
 
@@ -55,6 +63,8 @@ def without_repeats(kmers: DataFrame, k: int) -> DataFrame:
 
 def frequent(records: DataFrame, k: int, least: int, *keys: str) -> DataFrame:
     """Canonical k-mers that occur at least so often: keys, c, n."""
+    if k <= 31 and len(keys) <= 1:
+        return counted(records, k, *keys).where(F.col("n") >= least).select(*keys, from_number("number", k).alias("c"), "n")
     return windows(records, k, *(keys or ("rid",))).groupBy(*keys, "c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -94,3 +104,46 @@ def islands(rows: DataFrame, keys: list[str], at: str = "pos") -> DataFrame:
     """Runs of consecutive positions: keys, first, last."""
     by = Window.partitionBy(*keys).orderBy(at)
     return rows.select(*keys, at, (F.col(at) - F.row_number().over(by)).alias("_g")).groupBy(*keys, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("_g")
+
+
+def counted(records: DataFrame, k: int, key: str | None = None, both_strands: bool = True) -> DataFrame:
+    """k-mers as numbers, k <= 31, with their counts: key, number, n, up (a window with an upper-case start is among them).
+
+    Windows are taken from whole batches at once and combined before the shuffle; a frequent k-mer leaves a batch once.
+    """
+    if not 0 < k <= 31:
+        raise ValueError("k of 1 to 31; longer k-mers are strings, see windows")
+    kind = dict(records.dtypes)[key] if key else None
+    fields = ([f"{key} {kind}"] if key else []) + ["number bigint", "n bigint", "up boolean"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [s or "" for s in batch.column("seq").to_pylist()]
+            groups = batch.column(key).dictionary_encode() if key else None
+            group = groups.indices.to_numpy(zero_copy_only=False).astype(float) if key else np.zeros(len(seqs))
+            part = np.cumsum(np.fromiter(map(len, seqs), np.int64, len(seqs))) >> 21
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(seqs)])) if len(seqs) else [0]
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                codes, first = packed.joined_codes(seqs[lo:hi])
+                if len(codes) < k:
+                    continue
+                at = np.flatnonzero(packed.whole(codes, k))
+                number = (packed.canonical if both_strands else packed.windows)(codes, k)[at]
+                raw = np.frombuffer(("\n".join(seqs[lo:hi]) + "\n").encode("ascii", "replace"), np.uint8)
+                owner = np.nan_to_num(group[lo:hi], nan=-1).astype(np.int32)
+                where = np.repeat(owner, np.diff(first))[at] if key else None
+                order = np.lexsort((number, where)) if key else np.argsort(number)
+                number, up = number[order], raw[at[order]] < ord("a")
+                new = np.concatenate(([True], number[1:] != number[:-1]))[: len(number)]
+                if key:
+                    where = where[order]
+                    new[1:] |= where[1:] != where[:-1]
+                begin = np.flatnonzero(new)
+                if not len(begin):
+                    continue
+                out = [pa.array(number[begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(number)))), pa.array(np.logical_or.reduceat(up, begin))]
+                names = groups.dictionary.take(pa.array(where[begin], mask=where[begin] < 0)) if key else None
+                yield pa.RecordBatch.from_arrays([names, *out] if key else out, names=[key, "number", "n", "up"] if key else ["number", "n", "up"])
+
+    rows = spread(records.select(*([key] if key else []), "seq").where(F.length("seq") >= k)).mapInArrow(count, ", ".join(fields))
+    return rows.groupBy(*([key] if key else []), "number").agg(F.sum("n").alias("n"), F.max("up").alias("up"))

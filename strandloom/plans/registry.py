@@ -51,14 +51,13 @@ def superstring_rows(spark, sf_dir):
 @query(_CUT + "select c, count(*) as n from w group by c")
 def kmer_counts(spark, sf_dir):
     """Canonical 31-mers of all records and how often they occur."""
-    return kmers.windows(records(spark, sf_dir), K).groupBy("c").agg(F.count("*").alias("n"))
+    return kmers.counted(records(spark, sf_dir), K).select(letters.from_number("number", K).alias("c"), "n")
 
 
 @query(_CUT + "select count(*) as total, count(distinct c) as distinct_kmers, count(distinct c) filter (where up) as upper_only from w")
 def kmer_totals(spark, sf_dir):
     """Windows, distinct k-mers, and those with an upper-case start."""
-    each = kmers.windows(records(spark, sf_dir), K).groupBy("c").agg(F.count("*").alias("n"), F.max("up").alias("up"))
-    return each.agg(F.sum("n").alias("total"), F.count("*").alias("distinct_kmers"), F.count_if("up").alias("upper_only"))
+    return kmers.counted(records(spark, sf_dir), K).agg(F.sum("n").alias("total"), F.count("*").alias("distinct_kmers"), F.count_if("up").alias("upper_only"))
 
 
 @query(_CUT + "select c, count(*) as n from w group by c having count(*) >= 3")
@@ -77,7 +76,7 @@ def kmer_counts_one_strand(spark, sf_dir):
 def kmers_by_dataset(spark, sf_dir):
     """K2, K8: distinct canonical k-mers of each dataset, counted in two steps."""
     rows = records(spark, sf_dir).where("dataset is not null").withColumn("dataset", F.lower(F.trim("dataset")))
-    return kmers.kmer_set(rows, K, "dataset").groupBy("dataset").agg(F.count("*").alias("n"))
+    return kmers.counted(rows, K, "dataset").groupBy("dataset").agg(F.count("*").alias("n"))
 
 
 @query(_CUT + ", known as (select distinct c from kmer_known) select c, c in (select c from known) as known from (select distinct c from w)")
