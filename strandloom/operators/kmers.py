@@ -111,6 +111,11 @@ def counted(records: DataFrame, k: int, key: str | None = None, both_strands: bo
 
     Windows are taken from whole batches at once and combined before the shuffle; a frequent k-mer leaves a batch once.
     """
+    return counted_in_batches(records, k, key, both_strands).groupBy(*([key] if key else []), "number").agg(F.sum("n").alias("n"), F.max("up").alias("up"))
+
+
+def counted_in_batches(records: DataFrame, k: int, key: str | None = None, both_strands: bool = True) -> DataFrame:
+    """The rows of ``counted`` as they leave the tasks: a k-mer has one for each batch (and key) that holds it. No shuffle, so streams can take it too."""
     if not 0 < k <= 31:
         raise ValueError("k of 1 to 31; longer k-mers are strings, see windows")
     kind = dict(records.dtypes)[key] if key else None
@@ -145,5 +150,4 @@ def counted(records: DataFrame, k: int, key: str | None = None, both_strands: bo
                 names = groups.dictionary.take(pa.array(where[begin], mask=where[begin] < 0)) if key else None
                 yield pa.RecordBatch.from_arrays([names, *out] if key else out, names=[key, "number", "n", "up"] if key else ["number", "n", "up"])
 
-    rows = spread(records.select(*([key] if key else []), "seq").where(F.length("seq") >= k)).mapInArrow(count, ", ".join(fields))
-    return rows.groupBy(*([key] if key else []), "number").agg(F.sum("n").alias("n"), F.max("up").alias("up"))
+    return spread(records.select(*([key] if key else []), "seq").where(F.length("seq") >= k)).mapInArrow(count, ", ".join(fields))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import letters
 from ..operators import convert, graph, greedy, kmers, masks, measures, postings, superstrings
+from ..streaming import arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +80,14 @@ def kmers_by_dataset(spark, sf_dir):
     return kmers.counted(rows, K, "dataset").groupBy("dataset").agg(F.count("*").alias("n"))
 
 
+@query(_CUT + "select distinct c from w")
+def streamed_kmers(spark, sf_dir):
+    """K2 on a stream: the table's files as they come, each k-mer passed on once."""
+    schema = table(spark, sf_dir, "fasta_record").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/fasta_record.parquet*")  # a pattern may stand for one file or for a folder
+    return arriving.taken(arriving.new_kmers(rows.where("rid is not null"), K))
+
+
 @query(_CUT + ", known as (select distinct c from kmer_known) select c, c in (select c from known) as known from (select distinct c from w)")
 def kmer_membership(spark, sf_dir):
     """Which k-mers of the records are known ones."""
@@ -274,7 +283,7 @@ def report_over_bound(spark, sf_dir):
 @query(_MS + ", bits as (select ms_id, p as pos from (select *, unnest(range(length(m))) as p from ms) where m[p + 1:p + 1] = '1'), runs as (" + _RUNS.format("bits") + ") select ms_id, last - first + 1 as run_length, count(*) as n from runs group by all")
 def mask_run_lengths(spark, sf_dir):
     """Lengths of runs of ones."""
-    return measures.run_lengths(convert.ones(superstring_rows(spark, sf_dir)))
+    return measures.run_lengths(convert.ones(superstring_rows(spark, sf_dir))).withColumn("run_length", F.col("run_length").cast("bigint"))
 
 
 @query(_MS + ", bits as (select ms_id, unnest(range(length(m))) as pos, unnest(string_split(m, '')) as x from ms), f as (select *, lag(x, 1, '1') over (partition by ms_id order by pos) as y from bits) select ms_id, pos from f where x <> y")
@@ -355,13 +364,13 @@ def index_or(spark, sf_dir):
 @query(_INDEX + _RANKED.format(""))
 def index_ranked_or(spark, sf_dir):
     """The ten best documents by BM25."""
-    return postings.ranked(_index(spark, sf_dir), _asked(spark, sf_dir))
+    return postings.ranked(_index(spark, sf_dir), _asked(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(_INDEX + _RANKED.format("join need using (qid) where have = need"))
 def index_ranked_and(spark, sf_dir):
     """The ten best documents of those with every term."""
-    return postings.ranked(_index(spark, sf_dir), _asked(spark, sf_dir), every_term=True)
+    return postings.ranked(_index(spark, sf_dir), _asked(spark, sf_dir), every_term=True).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(_INDEX + "select term, round(max(idf * freq / (freq + 1.2 * (0.5 + 0.5 * norm))), 6) as best from idx join w using (term) join norms using (doc_id) group by term")
@@ -445,7 +454,7 @@ def pareto_bound_zeros(spark, sf_dir):
 def overlap_classes(spark, sf_dir):
     """How many letters each k-mer lacks at its longest overlap."""
     found = graph.longest_overlaps(graph.oriented(_sets(spark, sf_dir), "ms_id"), "ms_id")
-    return found.groupBy("ms_id", (F.length("u") - F.col("overlap")).alias("missing")).agg(F.count("*").alias("n"))
+    return found.groupBy("ms_id", (F.length("u") - F.col("overlap")).cast("bigint").alias("missing")).agg(F.count("*").alias("n"))
 
 
 def _decoded(spark, sf_dir, parts):

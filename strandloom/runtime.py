@@ -53,7 +53,9 @@ def buckets_for(df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out if the scan has fewer partitions than the cluster has cores.
 
-    One Parquet file with one row group is one task; tables of a real size never come here.
+    One Parquet file with one row group is one task; tables of a real size never come here. Streams stay as they are.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 4) else df

@@ -14,17 +14,25 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     A splittable file is read by many tasks; rid is made of the file's and the record's place.
     """
     text = spark.read.option("lineSep", "\n>").text(path)
-    rows = text.select(
-        F.regexp_replace("value", "^>", "").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    ).where("length(trim(v)) > 0")
-    head = F.regexp_extract("v", r"^([^\r\n]*)", 1)
-    rows = rows.select(
-        "file", "block", "at", F.regexp_extract(head, r"^\s*(\S*)", 1).alias("name"), F.regexp_extract(head, r"^\s*\S+\s+(.*?)\s*$", 1).alias("rest"),
-        F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"[\r\n]", "").alias("seq"),
-    )
+    rows = _parsed(text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")), "file", "block", "at")
     splits = rows.select("file", "block").distinct().withColumn("nth", F.row_number().over(Window.orderBy("file", "block")) - 1)  # a row a split
     rid = F.shiftleft(F.col("nth").cast("bigint"), 33) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(splits, ["file", "block"]).select(rid.alias("rid"), "name", F.when(F.col("rest") != "", F.col("rest")).alias("comment"), "seq")
+    return rows.join(splits, ["file", "block"]).select(rid.alias("rid"), "name", "comment", "seq")
+
+
+def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """Records of FASTA files as they arrive in a folder: file, name, comment, seq. A stream has no order of files, hence no rid."""
+    text = spark.readStream.option("lineSep", "\n>").text(path)
+    return _parsed(text.select("value", F.col("_metadata.file_path").alias("file")), "file")
+
+
+def _parsed(text: DataFrame, *keep: str) -> DataFrame:
+    """name, comment and seq of texts that stand between two line starts with ``>``."""
+    rows = text.withColumn("v", F.regexp_replace("value", "^>", "")).where("length(trim(v)) > 0")
+    head = F.regexp_extract("v", r"^([^\r\n]*)", 1)
+    rest = F.regexp_extract(head, r"^\s*\S+\s+(.*?)\s*$", 1)
+    seq = F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"[\r\n]", "")
+    return rows.select(*keep, F.regexp_extract(head, r"^\s*(\S*)", 1).alias("name"), F.nullif(rest, F.lit("")).alias("comment"), seq.alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
