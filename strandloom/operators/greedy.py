@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.letters import reverse_complement
 from ..runtime import stage
 from .components import components
-from .graph import chains, edges, oriented, unitigs
+from .graph import chains, oriented, unitigs
 
 
 def _pieces(sets: DataFrame, key: str, both_strands: bool) -> DataFrame:
@@ -38,19 +38,57 @@ def _overlap_joins(pieces: DataFrame, key: str, least: Column, most: Column) ->
     return tails.join(heads, [key, "d", "x"]).select(key, "k", "a", "cls_a", "b", "cls_b", F.col("d").alias("overlap"))
 
 
-def _walks(sets: DataFrame, pieces: DataFrame, key: str, steps: int, both_strands: bool) -> DataFrame:
-    """key, k, a, b, letters: shortest walks over k-mers of the set from the end of a to the start of b."""
-    nodes = oriented(sets, key) if both_strands else sets.select(key, F.col("c").alias("u"))
-    e = stage(edges(nodes, key))
-    heads = pieces.select(key, F.expr("left(u, k)").alias("v"), F.col("u").alias("b"), F.col("cls").alias("cls_b"))
-    front = stage(pieces.select(key, "k", F.col("u").alias("a"), F.col("cls").alias("cls_a"), F.expr("right(u, k)").alias("u"), F.lit("").alias("letters")))
-    found = None
-    for _ in range(steps):
-        step = front.join(e, [key, "u"]).select(key, "k", "a", "cls_a", F.col("v").alias("u"), F.concat("letters", F.right("v", F.lit(1))).alias("letters"))
-        front = stage(step.groupBy(key, "k", "a", "cls_a", "u").agg(F.min("letters").alias("letters")))
-        hits = front.withColumnRenamed("u", "v").join(heads, [key, "v"]).select(key, "k", "a", "cls_a", "b", "cls_b", "letters")
-        found = hits if found is None else found.unionByName(hits)
-    return found.groupBy(key, "k", "a", "cls_a", "b", "cls_b").agg(F.min_by("letters", F.struct(F.length("letters"), "letters")).alias("letters"))
+def _better(front: DataFrame, best: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``front`` that are cheaper than the best ones so far for their ends."""
+    return front.join(best.select(*on, F.col("cost").alias("had")), on, "left").where("had is null or cost < had").drop("had")
+
+
+def _cheapest(walks: DataFrame, on: list[str]) -> DataFrame:
+    return walks.groupBy(*on).agg(F.min(F.struct("cost", "letters")).alias("w")).select(*on, "w.*")
+
+
+def _walks(pieces: DataFrame, links: DataFrame, key: str, most: Column) -> DataFrame:
+    """key, k, a, cls_a, b, cls_b, cost, letters: shortest walks over k-mers of the set from the end of a to the start of b, of up to ``most`` letters.
+
+    What follows the end of an unbranched path is the start of one, so walks go over whole paths: ``links`` are joins by k - 1 letters.
+    A walk that skips letters costs no less than the direct join by what is left of its overlap, so none does.
+    """
+    on = [key, "k", "a", "cls_a", "u"]
+    follows = stage(links.select(key, F.col("a").alias("u"), F.col("b").alias("v"), F.col("cls_b")))
+    over = pieces.select(key, F.col("u").alias("v"), F.expr("right(u, length(u) - k + 1)").alias("more"))
+
+    def onward(front: DataFrame) -> DataFrame:
+        step = front.join(follows.join(over, [key, "v"]), [key, "u"]).withColumn("letters", F.concat("letters", "more")).withColumn("cost", F.length("letters"))
+        return _cheapest(step.where(F.col("cost") < most).select(key, "k", "a", "cls_a", F.col("v").alias("u"), "cost", "letters"), on)
+
+    front = stage(onward(pieces.select(key, "k", F.col("u").alias("a"), F.col("cls").alias("cls_a"), "u", F.lit("").alias("letters"))))
+    best = front
+    while not front.isEmpty():
+        front = stage(_better(onward(front), best, on))
+        best = stage(_cheapest(best.unionByName(front), on))
+    hits = best.join(follows, [key, "u"]).select(key, "k", "a", "cls_a", F.col("v").alias("b"), "cls_b", F.concat("letters", F.expr("substr(v, k, 1)")).alias("letters"))
+    return _cheapest(hits.withColumn("cost", F.length("letters")), [key, "k", "a", "cls_a", "b", "cls_b"])
+
+
+def _walks_with_gaps(sets: DataFrame, pieces: DataFrame, key: str, penalty: int, steps: int | None, both_strands: bool) -> DataFrame:
+    """As ``_walks``, where a letter without a one (in lower case) costs ``penalty`` more: cheapest walks over k-mers of the set that may skip letters anywhere."""
+    on = [key, "k", "a", "cls_a", "u"]
+    nodes = stage((oriented(sets, key) if both_strands else sets.select(key, F.col("c").alias("u"))).distinct())
+    d = F.explode(F.sequence(F.lit(1), F.length("u") - 1)).alias("d")
+    entries = stage(nodes.where("length(u) > 1").select(key, F.col("u").alias("v"), d).withColumn("x", F.expr("left(v, d)")))
+    heads = pieces.select(key, F.expr("left(u, k)").alias("u"), F.col("u").alias("b"), F.col("cls").alias("cls_b"))
+    front = stage(pieces.select(key, "k", F.col("u").alias("a"), F.col("cls").alias("cls_a"), F.expr("right(u, k)").alias("u"), F.lit(0).alias("cost"), F.lit("").alias("letters")))
+    best = front.limit(0)
+    while not front.isEmpty():
+        out = front.where("k > 1").select(*on, "cost", "letters", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("d"))
+        out = out.withColumn("cost", F.col("cost") + F.col("k") - F.col("d") + penalty * (F.col("k") - 1 - F.col("d"))).where(F.col("cost") <= (F.col("k") - 1) * (penalty + 1))
+        step = out.withColumn("x", F.expr("right(u, d)")).drop("u").join(entries, [key, "d", "x"])
+        step = step.withColumn("letters", F.concat("letters", F.lower(F.expr("substr(v, d + 1, k - d - 1)")), F.expr("right(v, 1)")))
+        step = step if steps is None else step.where(F.length("letters") <= steps)
+        front = stage(_better(_cheapest(step.withColumnRenamed("v", "u").select(*on, "cost", "letters"), on), best, on))
+        best = stage(_cheapest(best.unionByName(front), on))
+    hits = best.join(heads, [key, "u"])
+    return _cheapest(hits, [key, "k", "a", "cls_a", "b", "cls_b"])
 
 
 def _mirror_key(both_strands: bool) -> Column:
@@ -100,23 +138,30 @@ def _without_rings(now: DataFrame, before: DataFrame | None) -> DataFrame:
     return now.join(fresh.select("rank").distinct(), "rank", "left_anti").select(now.columns)
 
 
-def joined(sets: DataFrame, key: str, deepest: int | None = None, penalty: int = 0, steps: int = 0, both_strands: bool = True) -> DataFrame:
+def _joins(sets: DataFrame, pieces: DataFrame, key: str, deepest: int | None, penalty: int, steps: int | None, both_strands: bool, zeros: bool) -> DataFrame:
+    """The cheapest join of each end and start: key, k, a, cls_a, b, cls_b, cost, overlap, letters (of a walk, else null)."""
+    least = F.lit(1) if deepest is None else F.col("k") - deepest
+    direct = _overlap_joins(pieces, key, least, F.col("k") - 1)
+    gap = F.col("k") - 1 - F.col("overlap")
+    joins = direct.withColumn("letters", F.lit(None).cast("string")).withColumn("cost", gap + 1 + (gap * penalty if zeros else F.when(gap > 0, penalty).otherwise(0)))
+    if steps is None or steps > 0:
+        dearest = F.col("k") - 1 + penalty
+        walks = _walks_with_gaps(sets, pieces, key, penalty, steps, both_strands) if zeros else _walks(pieces, _overlap_joins(pieces, key, F.col("k") - 1, F.col("k") - 1), key, dearest if steps is None else F.least(dearest, F.lit(steps)))
+        joins = joins.unionByName(walks.withColumn("overlap", F.col("k") - 1))
+    return joins.groupBy(key, "k", "a", "cls_a", "b", "cls_b").agg(F.min(F.struct("cost", "overlap", "letters")).alias("j")).select(key, "k", "a", "cls_a", "b", "cls_b", "j.*")
+
+
+def joined(sets: DataFrame, key: str, deepest: int | None = None, penalty: int = 0, steps: int | None = 0, both_strands: bool = True, zeros: bool = False) -> DataFrame:
     """Parts of a masked superstring of each k-mer set (key, c): key, chain, place, part.
 
     Overlaps are tried from k - 1 down to k - ``deepest``: 1 gives simplitigs, None every length (the global greedy).
-    With ``steps`` a walk of up to so many letters over k-mers that are written elsewhere may join strings too, if it is cheaper than the letters
-    and the ``penalty`` of a new run; those k-mers have ones again. The parts of a chain in the order of place are
-    its text with the mask as case; the chains in any order are the superstring.
+    With ``steps`` a walk of up to so many letters (None: as many as are cheaper than a new run) over k-mers that are written elsewhere may join
+    strings too, if it is cheaper than the letters and the ``penalty`` of a new run, or with ``zeros`` of each letter without a one; those k-mers
+    have ones again. The parts of a chain in the order of place are its text with the mask as case; the chains in any order are the superstring.
     """
     sets = stage(sets.select(key, "c").distinct())
     pieces = stage(_pieces(sets, key, both_strands))
-    least = F.lit(1) if deepest is None else F.col("k") - deepest
-    joins = _overlap_joins(pieces, key, least, F.col("k") - 1).withColumn("letters", F.lit(None).cast("string"))
-    joins = joins.withColumn("cost", F.col("k") - F.col("overlap") + F.when(F.col("overlap") < F.col("k") - 1, penalty).otherwise(0))
-    if steps:
-        walks = _walks(sets, pieces, key, steps, both_strands)
-        joins = joins.unionByName(walks.withColumn("overlap", F.col("k") - 1).withColumn("cost", F.length("letters")))
-    joins = joins.groupBy(key, "k", "a", "cls_a", "b", "cls_b").agg(F.min(F.struct("cost", "overlap", "letters")).alias("j")).select(key, "k", "a", "cls_a", "b", "cls_b", "j.*")
+    joins = _joins(sets, pieces, key, deepest, penalty, steps, both_strands, zeros)
     links = _taken(joins, key, both_strands, rings=False)
     placed = chains(stage(links.select(key, F.col("a").alias("u"), F.col("b").alias("v"))), pieces.select(key, "u"), key)
     rows = placed.join(pieces, [key, "u"]).join(links.select(key, F.col("a").alias("u"), "overlap", "letters"), [key, "u"], "left")
@@ -125,7 +170,8 @@ def joined(sets: DataFrame, key: str, deepest: int | None = None, penalty: int =
         one = last.where(F.col("head") <= reverse_complement("last")).select(key, "head")
         rows = rows.join(one, [key, "head"], "left_semi")
     tail = F.expr("right(u, k - 1)")
-    rest = F.when(F.col("letters").isNotNull(), F.upper(F.left(F.concat(tail, "letters"), F.length("letters") - 1))).otherwise(F.lower(F.left(tail, F.col("k") - 1 - F.coalesce("overlap", F.lit(0)))))
+    walked = F.expr("array_join(zip_with(split(left(upper(right(u, k - 1) || letters), length(letters) - 1), ''), split(left(letters, length(letters) - 1), ''), (x, m) -> if(m = upper(m), x, lower(x))), '')")
+    rest = F.when(F.col("letters").isNotNull(), walked).otherwise(F.lower(F.left(tail, F.col("k") - 1 - F.coalesce("overlap", F.lit(0)))))
     part = F.concat(F.left("u", F.length("u") - F.col("k") + 1), rest)
     return rows.select(key, F.col("head").alias("chain"), "place", part.alias("part"))
 
@@ -145,8 +191,7 @@ def superstring(parts: DataFrame, key: str) -> DataFrame:
 def sizes(parts: DataFrame, key: str) -> DataFrame:
     """Letters, ones and runs of ones of superstrings in parts: key, length, ones, runs."""
     upper = F.regexp_replace("part", "[a-z]", "")
-    breaks = F.length("part") > F.length(upper)
-    return parts.groupBy(key).agg(F.sum(F.length("part")).alias("length"), F.sum(F.length(upper)).alias("ones"), F.count_if(breaks).alias("runs"))
+    return parts.groupBy(key).agg(F.sum(F.length("part")).alias("length"), F.sum(F.length(upper)).alias("ones"), F.sum(F.regexp_count("part", F.lit("[a-z]+"))).alias("runs"))
 
 
 def length_bound(sets: DataFrame, key: str, both_strands: bool = True) -> DataFrame:

@@ -485,7 +485,7 @@ def local_greedy_decoded(spark, sf_dir):
 @query(_MS + "select ms_id, c from rep")
 def pareto_decoded(spark, sf_dir):
     """The k-mers of a superstring with few runs, 8 letters for a run."""
-    return _decoded(spark, sf_dir, greedy.joined(_sets(spark, sf_dir), "ms_id", penalty=8, steps=8))
+    return _decoded(spark, sf_dir, greedy.joined(_sets(spark, sf_dir), "ms_id", penalty=8, steps=None))
 
 
 @query()
