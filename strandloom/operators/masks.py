@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +11,6 @@ from .components import components
 from .convert import join_case
 from .kmers import islands, windows
 
-#: Intervals up to which a component's cover is searched exactly.
-EXACT = 14
-
 
 def placed(ms: DataFrame, both_strands: bool = True) -> DataFrame:
     """All windows of superstrings whose k-mer is represented: ms_id, k, pos, c, up (it has a one)."""
@@ -82,42 +77,112 @@ def fewest_runs_approximately(windows_: DataFrame) -> DataFrame:
     return spans.join(chosen.withColumnRenamed("interval", "first"), ["ms_id", "first"], "left_semi").select("ms_id", "first", "last")
 
 
+def shrunk(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of intervals (ms_id, s, interval) of which each needs one chosen: the chosen ones (ms_id, interval), and the rows that are left.
+
+    In rounds: a list that holds all of another is met with it; an interval that is in no list without a certain other one
+    is not needed; the only interval of a list is chosen. None of these makes the smallest choice larger.
+    """
+    left, chosen = stage(lists), None
+    rows = left.count()
+    while rows:
+        both = left.join(left.select("ms_id", "interval", F.col("s").alias("t")), ["ms_id", "interval"]).groupBy("ms_id", "s", "t").agg(F.count("*").alias("n"))
+        size = left.groupBy("ms_id", "s").agg(F.count("*").alias("of_s"))
+        both = both.where("s <> t").join(size, ["ms_id", "s"]).join(size.toDF("ms_id", "t", "of_t"), ["ms_id", "t"])
+        met = both.where("n = of_s and (of_s < of_t or s < t)").select("ms_id", F.col("t").alias("s")).distinct()
+        left = stage(left.join(met, ["ms_id", "s"], "left_anti"))
+
+        both = left.join(left.select("ms_id", "s", F.col("interval").alias("other")), ["ms_id", "s"]).groupBy("ms_id", "interval", "other").agg(F.count("*").alias("n"))
+        size = left.groupBy("ms_id", "interval").agg(F.count("*").alias("of_i"))
+        both = both.where("interval <> other").join(size, ["ms_id", "interval"]).join(size.toDF("ms_id", "other", "of_o"), ["ms_id", "other"])
+        idle = both.where("n = of_i and (of_i < of_o or other < interval)").select("ms_id", "interval").distinct()
+        left = stage(left.join(idle, ["ms_id", "interval"], "left_anti"))
+
+        only = stage(left.groupBy("ms_id", "s").agg(F.count("*").alias("n"), F.min("interval").alias("interval")).where("n = 1").select("ms_id", "interval").distinct())
+        chosen = only if chosen is None else chosen.union(only)
+        done = left.join(only, ["ms_id", "interval"], "left_semi").select("ms_id", "s").distinct()
+        left = stage(left.join(done, ["ms_id", "s"], "left_anti"))
+        before, rows = rows, left.count()
+        if rows == before:
+            break
+    return (lists.select("ms_id", "interval").limit(0) if chosen is None else chosen), left
+
+
+def smallest_cover(lists: list[frozenset[int]], most: int) -> set[int] | None:
+    """A smallest choice of numbers with one of every list, None if it takes more than ``most``: branch and bound, to the end."""
+    picked: set[int] = set()
+    while True:
+        kept: list[frozenset[int]] = []
+        for s in sorted(set(lists), key=lambda s: (len(s), sorted(s))):
+            if not any(t <= s for t in kept):
+                kept.append(s)
+        if kept and not kept[0]:
+            return None
+        where: dict[int, set[int]] = {}
+        for n, s in enumerate(kept):
+            for i in s:
+                where.setdefault(i, set()).add(n)
+        only = {i for s in kept if len(s) == 1 for i in s}
+        idle = {i for i, at in where.items() if any(at <= where[j] and (len(at) < len(where[j]) or j < i) for j in kept[min(at)] if j != i)}
+        if only:
+            picked |= only
+            lists = [s for s in kept if not s & only]
+        elif idle:
+            lists = [s - idle for s in kept]
+        else:
+            break
+    if len(picked) > most or not kept:
+        return picked if len(picked) <= most else None
+    apart, taken = 0, set()
+    for s in kept:
+        if not s & taken:
+            apart += 1
+            taken |= s
+    if len(picked) + max(apart, -(-len(kept) // max(map(len, where.values())))) > most:
+        return None
+    group, grow = {0}, [0]
+    while grow:
+        near = {m for i in kept[grow.pop()] for m in where[i]} - group
+        group |= near
+        grow += near
+    if len(group) < len(kept):
+        for part in ([kept[n] for n in sorted(group)], [s for n, s in enumerate(kept) if n not in group]):
+            found = smallest_cover(part, most - len(picked))
+            if found is None:
+                return None
+            picked |= found
+        return picked
+    best, tried = None, frozenset()
+    for i in sorted(kept[0], key=lambda i: (-len(where[i]), i)):
+        found = smallest_cover([s - tried for s in kept if i not in s], most - len(picked) - 1)
+        if found is not None:
+            best = picked | {i} | found
+            most = len(best) - 1
+        tried |= {i}
+    return best
+
+
 def fewest_runs(windows_: DataFrame) -> DataFrame:
-    """Few intervals that cover every k-mer: ms_id, first, last.
+    """The fewest intervals that cover every k-mer: ms_id, first, last.
 
-    Forced intervals first; what is left falls into components of intervals with common k-mers, each of which is solved
-    for itself: exactly up to ``EXACT`` intervals, else greedily, without those that turn out superfluous. A k-mer's list of
-    intervals is kept once. Every result covers every k-mer.
+    Forced intervals first. What is left is shrunk by joins, each k-mer's list of intervals being kept once, and falls into components of
+    intervals with common k-mers, each of which is solved for itself by branch and bound. That always runs to the end, so the number is the
+    least one at every size; the time for a large component that doesn't shrink can grow exponentially, as the problem is NP-hard.
     """
     spans = runs(most_ones(windows_))
     forced, left = presolved(intervals(windows_))
-    sets = left.groupBy("ms_id", "c").agg(F.array_sort(F.collect_set("interval")).alias("choices")).select("ms_id", "choices").distinct()
+    sets = left.groupBy("ms_id", "c").agg(F.array_sort(F.collect_set("interval")).alias("choices")).groupBy("ms_id", "choices").agg(F.min("c").alias("s"))
+    chosen, rest = shrunk(sets.select("ms_id", "s", F.explode("choices").alias("interval")))
     node = lambda i: F.xxhash64("ms_id", i)
-    sets = stage(sets.withColumn("a", node(F.col("choices")[0])))
+    sets = stage(rest.groupBy("ms_id", "s").agg(F.array_sort(F.collect_list("interval")).alias("choices")).withColumn("a", node(F.col("choices")[0])))
     edges = sets.select("a", F.explode("choices").alias("i"), "ms_id").select("a", node(F.col("i")).alias("b"))
     found = components(edges).withColumnRenamed("node", "a")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         need = [frozenset(x) for x in pdf["choices"]]
-        pick: set[int] = set()
-        options = sorted(set().union(*need))
-        if len(options) <= EXACT:
-            pick = next(set(c) for n in range(1, len(options) + 1) for c in combinations(options, n) if all(s & set(c) for s in need))
-        else:
-            rest = need
-            while rest:
-                count: dict[int, int] = {}
-                for s in rest:
-                    for i in s:
-                        count[i] = count.get(i, 0) + 1
-                best = min(count, key=lambda i: (-count[i], i))
-                pick.add(best)
-                rest = [s for s in rest if best not in s]
-            for i in sorted(pick):
-                if all(s & (pick - {i}) for s in need):
-                    pick.discard(i)
+        pick = smallest_cover(need, len(need))
         return pd.DataFrame({"ms_id": pdf["ms_id"].iloc[0], "interval": sorted(pick)})
 
     solved = sets.join(found, "a").select("component", "ms_id", "choices").groupBy("component", "ms_id").applyInPandas(solve, "ms_id string, interval bigint")
-    chosen = forced.union(solved).withColumnRenamed("interval", "first").distinct()
+    chosen = forced.union(chosen).union(solved).withColumnRenamed("interval", "first").distinct()
     return spans.join(chosen, ["ms_id", "first"], "left_semi").select("ms_id", "first", "last")
