@@ -3,8 +3,8 @@
 A boundary is the position just after a maximal run of at least ``gap`` characters other than
 ACGT. Two placements share the boundaries and the limits:
 
-* ``balanced``: the least number of pieces that the limit allows, equal targets, each cut at the boundary nearest to its
-  target (of equally near ones the one after the longer run); one more piece until every piece is within the limit.
+* ``balanced``: the least number of pieces that the limit allows, equal targets, each cut at the strongest boundary
+  near its target, the one after the longest run (of equally long runs the one nearest to the target); one more piece until every piece is within the limit.
 * ``furthest``: a piece ends at the last boundary in (limit / 2, limit] after its start.
 
 Balanced targets look ahead to the end of the text, so they can't give the pieces that the
@@ -53,7 +53,7 @@ def balanced(size: int, ends: list[int], runs: list[int], limit: int, overlap: i
             slack = (limit - overlap) // 4
             lo = bisect_right(ends, max(start + overlap, target - slack))
             hi = bisect_right(ends, min(start + limit, target + slack))
-            end = min(range(lo, hi), key=lambda i: (abs(ends[i] - target), -runs[i], ends[i]), default=None)
+            end = min(range(lo, hi), key=lambda i: (-runs[i], abs(ends[i] - target), ends[i]), default=None)
             end = min(target, start + limit) if end is None else ends[end]
             if end >= size:
                 break
