@@ -6,7 +6,9 @@ So alike records are near in Hamming distance over 64 symbols.
 
 The symbols are a ring of 32 boxes of two. If at most n symbols differ, a chain of boxes starts somewhere on the ring in which
 the first l boxes differ in no more than l * n / 32 symbols, for every l. Each box of each record is a key; with it go the next boxes as
-bytes, and two records with an equal box are a candidate only if their chain stays within its budgets. Then come the full
+bytes, and two records with an equal box are a candidate only if their chain stays within its budgets. The first box must be equal (budget 0),
+though it might differ in n // 32 symbols by the rule above: it is a filter by equal boxes, and pairs without one are lost, with a chance of
+(1 - least^2)^32: 6e-7 at a likeness of 0.6, 1e-4 at 0.5. Then come the full
 Hamming distance and the exact Jaccard index, both from the records' letters.
 
 Records with equal sets are one class, of which one record stands for all. A key of very many records makes no
@@ -239,7 +241,7 @@ def near_groups(records: DataFrame, least: float = 0.6, hot: int = 64) -> DataFr
     """The group of each record: rid, same (the class of records with an equal set, named by its smallest rid), near (the group, likewise).
 
     Records are linked where the Jaccard index of their canonical 15-mers is at least ``least`` (0.5 or more; the filter loses
-    a link with a chance of about 1e-5 at the least likeness, less above it). Null ``rid`` or ``seq``, empty texts and
+    a link with a chance of about 1e-5 at a least likeness of 0.6, 1e-4 at 0.5, less above it). Null ``rid`` or ``seq``, empty texts and
     records with fewer than 50 distinct 15-mers take no part and give no row; rows of one rid are one record; an empty table
     gives no rows; columns besides rid and seq are ignored. ``hot`` is no cap, see above.
     """
