@@ -7,19 +7,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of scanned files that one shuffle bucket of block rows should stand for.
 BUCKET_BYTES = 4 << 20
+#: Buckets that share a task, about.
+BUCKETS_A_TASK = 2
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a temporary folder is used.
+    Only where ``spark.checkpoint.dir`` is unset and the master is a local one (tests, a laptop) a temporary folder is used; on a
+    cluster that is an error, as each executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -41,15 +47,28 @@ def scanned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _measured_bytes(df: DataFrame) -> int:
+    """Size of ``df``'s rows by a pass over them, for input whose size the optimizer doesn't know (rows from an RDD, say)."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    row = sum(text, F.lit(8 * len(df.columns)).cast("bigint"))
+    return int(df.select(row.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
 def buckets_for(df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
     """How many hash buckets keep each bucket of ``df``'s rows small enough for one task."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = scanned_bytes(df)
-    if size > 1 << 50:  # the optimizer doesn't know it (rows made in the driver, say)
-        return least
+    if size > 1 << 50:
+        size = _measured_bytes(df)
     return max(least, math.ceil(size / bytes_each))
 
 
+def by_bucket(df: DataFrame, buckets: int, *keys: str):
+    """``df`` grouped by ``keys``, in as many tasks as so many buckets need; adaptive execution doesn't put them together again."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, math.ceil(buckets / BUCKETS_A_TASK)), *keys).groupBy(*keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out if the scan has fewer partitions than the cluster has cores.
 
