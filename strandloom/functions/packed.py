@@ -86,6 +86,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """What ``mix64`` scrambled."""
+    x = x.astype(np.uint64, copy=True)
+    with np.errstate(over="ignore"):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+        x ^= x >> np.uint64(29) ^ x >> np.uint64(58)
+        x *= np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        x ^= x >> np.uint64(32)
+    return x
+
+
 def mix32(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 32-bit numbers."""
     x = x.astype(np.uint32, copy=True)
