@@ -212,8 +212,8 @@ def test_overlaps(spark):
     stream = spark.createDataFrame([(i, d, v, "x") for i, (d, v) in enumerate(values)], "arrival bigint, dataset string, value string, did string")
     sets = sets31(texts, values)
     for least in (200, 1):
-        for size in (4096, 16):
-            got = [tuple(r) for r in overlaps.overlapping(recs, stream, least, size=size).collect()]
+        for share in (0.125, 0.4):
+            got = [tuple(r) for r in overlaps.overlapping(recs, stream, least, share=share).collect()]
             assert len(got) == len(set(got))
             assert set(got) == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
     assert overlaps.overlapping(recs.limit(0), stream.limit(0)).count() == 0
@@ -222,6 +222,47 @@ def test_overlaps(spark):
         assert row.shared_estimate == len(a & b) and row.union_estimate == len(a | b)
 
 
+def test_overlaps_at_the_limit(spark):
+    """A set of over a million k-mers and 3,000 small ones that share 199, 200 or 201 with it; nothing but the count may decide."""
+    big = dna(1_100_000, 5)
+    rows = [("big", big[i : i + 40_000]) for i in range(0, len(big), 40_000 - 30)]
+    want = set()
+    for i in range(3000):
+        n = 199 + i % 3
+        rows.append((f"s{i:04}", big[300 * i : 300 * i + n + 30]))
+        if n >= 200:
+            want.add(("big", f"s{i:04}"))
+    recs = spark.createDataFrame(rows, "dataset string, seq string").repartition(4)
+    got = [tuple(r) for r in overlaps.overlapping(recs, spark.createDataFrame([], "dataset string, value string")).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_overlaps_settled_by_sketches(spark):
+    """Pairs far from the limit need no count, and the limits are the tails of the binomial distribution."""
+    core = dna(4000, 6)
+    recs = spark.createDataFrame([("a", core), ("b", core), ("c", core[:2000] + dna(500, 7)), ("d", core[:40])], "dataset string, seq string")
+    none = spark.createDataFrame([], "dataset string, value string")
+    got = {r.verdict: r.pairs for r in overlaps.settled_by_sketches(recs, none).collect()}
+    assert got["in"] == 3 and "open" not in got
+    assert overlaps.limits(200, 1.0, 1e-9) == (199, 200)
+    for least, tau in ((200, 0.125), (200, 0.5), (1000, 0.05)):
+        out, sure = overlaps.limits(least, tau, 1e-9)
+        draws = np.random.default_rng(1).binomial(least, tau, 1_000_000), np.random.default_rng(2).binomial(least - 1, tau, 1_000_000)
+        assert 0 <= out < least * tau < sure <= least and (draws[0] > out).all() and (draws[1] < sure).all()
+
+
+def test_overlaps_of_heavy_buckets(spark, monkeypatch):
+    """Buckets that are split between tasks and opened in passes give the same counts."""
+    monkeypatch.setattr(overlaps, "OPENED", 300)
+    monkeypatch.setattr(overlaps, "WORDS_HELD", 64)
+    core = dna(3000, 8)
+    recs = spark.createDataFrame([(f"d{i}", core[30 * i : 30 * i + 400 + i]) for i in range(30)], "dataset string, seq string")
+    stream = spark.createDataFrame([(f"D{i % 30} ", core[30 * (i % 30) : 30 * (i % 30) + 31]) for i in range(300)], "dataset string, value string")
+    sets = sets31([tuple(r) for r in recs.collect()], [tuple(r) for r in stream.collect()])
+    got = {tuple(r) for r in overlaps.overlapping(recs, stream, 200).collect()}
+    assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 200}
+
+
 DOCS = "doc_id bigint, text string, ids string, tokens string, lang string, rated string"
 TEXTS = [None, "", " ", "  a  b\n\n c ", "it's 're 'x don''t", "x" * 3000, "日本語 ٣ é́ ​ ½", "퟿\U0001f600 <|endoftext|>", "a 　b", "1234 5six", "'s", "word " * 4000, "word", "word"]
 
