@@ -112,7 +112,7 @@ def _bagged(documents: DataFrame) -> DataFrame:
                     hi += 1
                 owner, slot, count, lang = bags(texts)
                 edge = np.searchsorted(owner, np.arange(hi - lo + 1))
-                count = np.minimum(count, 65535).astype(np.uint16)
+                count = count.astype(np.uint32)
                 out = [(ids[lo + i], int(lang[i]) if lang[i] >= 0 else None, slot[a:b].tobytes(), count[a:b].tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:]))]
                 yield _binary(out, schema)
                 lo = hi
@@ -151,7 +151,7 @@ def _opened(batch: pa.RecordBatch):
     slots = [np.frombuffer(x, np.uint16) for x in part.column("slots").to_pylist()]
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in slots])
     slot = np.concatenate([np.zeros(0, np.uint16), *slots])
-    count = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x, np.uint16) for x in part.column("counts").to_pylist())]).astype(float)
+    count = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in part.column("counts").to_pylist())]).astype(float)
     rated = part.column("rated").to_numpy(zero_copy_only=False).astype(float)
     return rows, part.column("lang").to_numpy(), owner, slot, count, np.bincount(owner, count, len(rows)), rated
 

@@ -3,18 +3,19 @@
 A boundary is the position just after a maximal run of at least ``gap`` characters other than
 ACGT. Two placements share the boundaries and the limits:
 
-* ``balanced``: the least number of pieces that the limit allows, equal targets, each cut at the strongest boundary
-  near its target, the one after the longest run (of equally long runs the one nearest to the target); one more piece until every piece is within the limit.
+* ``balanced``: the least number of pieces that the limit allows, as many equal targets, each snapped to the strongest boundary
+  near it, the one after the longest run (of equally long runs the one nearest to the target); if any piece is over the limit, one piece
+  more and new targets.
 * ``furthest``: a piece ends at the last boundary in (limit / 2, limit] after its start.
 
-Balanced targets look ahead to the end of the text, so they can't give the pieces that the
+Balanced targets depend on the end of the text, ``furthest`` pieces on its beginning alone, so no choice of targets, slack or strength gives the pieces that the
 ``furthest`` rule fixes; TESTDATA.md states that rule for p4_found.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,24 +43,23 @@ def furthest(size: int, ends: list[int], limit: int, overlap: int) -> list[tuple
 
 
 def balanced(size: int, ends: list[int], runs: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """The fewest pieces of about equal length, cut at the strongest boundary near each target."""
+    """The fewest pieces of about equal length, cut at the strongest boundary near each target.
+
+    Targets for a number of pieces are fixed before anything is cut. A boundary is near within a quarter of the targets' distance, so cuts never cross.
+    """
     if size <= limit:
         return [(0, size)]
     count = -(-(size - overlap) // (limit - overlap))
     while True:
-        out, start = [], 0
-        for left in range(count, 1, -1):
-            target = start + overlap + -(-(size - start - overlap) // left)
-            slack = (limit - overlap) // 4
-            lo = bisect_right(ends, max(start + overlap, target - slack))
-            hi = bisect_right(ends, min(start + limit, target + slack))
-            end = min(range(lo, hi), key=lambda i: (-runs[i], abs(ends[i] - target), ends[i]), default=None)
-            end = min(target, start + limit) if end is None else ends[end]
-            if end >= size:
-                break
-            out.append((start, end))
-            start = end - overlap
-        out.append((start, size))
+        cuts = [0]
+        for i in range(1, count):
+            target = overlap + -(-(size - overlap) * i // count)
+            slack = (size - overlap) // (4 * count)
+            lo, hi = bisect_left(ends, target - slack), bisect_right(ends, target + slack)
+            best = min(range(lo, hi), key=lambda i: (-runs[i], abs(ends[i] - target), ends[i]), default=None)
+            cuts.append(target if best is None else ends[best])
+        cuts.append(size)
+        out = [(max(0, s - overlap), e) for s, e in zip(cuts, cuts[1:])]
         if all(e - s <= limit for s, e in out):
             return out
         count += 1

@@ -14,12 +14,15 @@ _WORDS = "|".join(w[0].upper() + w[1:] + "|" + w.upper() for w in (*BODY, *CLOSE
 _MARK = r"(?:[\[(¶§]\s*)?\d"
 _HEADING = re.compile(rf"(?<!\w)({_WORDS})(?!\w)[\s:.]*(?={_MARK}|(?:{_WORDS})(?!\w)|\Z)")
 _LOOSE = re.compile(rf"(?:^|\n|\s\s)\s*([^\W\d_]{{5,13}})[\s:.]*(?={_MARK}|\n)")
-_TAG = re.compile(r"<[^<>]{1,80}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*+>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BROKEN = re.compile(r"(\w)-\s*\n\s*([^\W\d_A-ZÀ-Þ])")
-_CITED = re.compile(r"\((?:s[ec][ec]|vgl|cf|v[gq]l)\b(?:[^()]|\([^()]{0,60}\)){0,200}\)", re.I)
-_SPEECH = re.compile(r"[“„«]([^“”„«»]{0,4000})[”»“]|\"[^\"]{0,2000}\"")
-_PAGE = re.compile(r"\n[^\n]{0,60}?(?:\b(?:page|seite) \d+ (?:of|von|sur) \d+[^\n]{0,30}|[–—-] ?\d+ ?[–—-]|\t\d+|\bpage \d+|\bseite \d+)[ \t]*(?=\n)", re.I)
+# Citations and speech end at their own marks, or at an empty line where those are lost.
+_TEXT = r"[^{}\n]|\n(?!\s*\n)"
+_CITED = re.compile(rf"\((?:s[ec][ec]|vgl|cf|v[gq]l)\b(?:{_TEXT.format('()')}|\((?:{_TEXT.format('()')})*+\))*+\)", re.I)
+_SPEECH = re.compile(rf"[“„«](?:{_TEXT.format('“”„«»')})*+[”»“]|\"(?:{_TEXT.format(chr(34))})*+\"")
+_PAGE_MARK = re.compile(r"(?:\b(?:page|seite) \d+(?: (?:of|von|sur) \d+[^\n.!?;]*)?|[–—-] ?\d+ ?[–—-]|\t\d+)[ \t]*(?=\n)", re.I)
+_SENTENCE = re.compile(r"(?<!\b[A-Z])[.!?;]\s")
 
 
 def _repaired(text: str) -> str:
@@ -63,9 +66,20 @@ def plain(text: str) -> str:
     return _BROKEN.sub(r"\1\2", text) if "-" in text else text
 
 
+def _without_pages(text: str) -> str:
+    """Without page headers and footers: lines that end in a page number and hold no end of a sentence."""
+    out, at = [], 0
+    for m in _PAGE_MARK.finditer(text):
+        line = text.rfind("\n", at, m.start())
+        if line >= 0 and not _SENTENCE.search(text, line, m.start()):
+            out.append(text[at:line])
+            at = m.end()
+    return "\n".join([*out, text[at:]])
+
+
 def court_written(text: str | None) -> str:
     """What the court wrote between the first section heading and the order; nothing if there is no such text."""
-    if not text or len(text) < 20:
+    if not text:
         return ""
     text = plain(text)
     found = [(m.start(), m.end(), m[1].lower()) for m in _HEADING.finditer(text)]
@@ -79,6 +93,6 @@ def court_written(text: str | None) -> str:
     first = next(i for i, (_, _, w) in enumerate(found) if w in BODY)
     starts = [s for s, _, _ in found[1:]] + [len(text)]
     text = "\n".join(text[found[i][1] : starts[i]] for i in range(first, last + 1))
-    text = _PAGE.sub("\n", text)
+    text = _without_pages(text)
     text = _CITED.sub(" ", text)
     return _SPEECH.sub(" ", text)

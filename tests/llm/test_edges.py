@@ -168,6 +168,55 @@ def test_seen_rate_is_measured(spark):
     assert row.looked_up == 4000 and 10 < row.wrong < 400 and row.wrong_rate == row.wrong / 4000
 
 
+@pytest.mark.parametrize("bits", [8, 32])
+def test_sealed_rate_of_stored_parts(spark, bits):
+    """Keys that aren't known, looked up in sealed parts: about one in 2^bits for each part is wrong."""
+    rng = np.random.default_rng(3)
+    words = ["".join("ACGT"[x] for x in row) for row in rng.integers(0, 4, (12000, 31))]
+    known = spark.createDataFrame([(w,) for w in words[:6000]], "c string")
+    stream = spark.createDataFrame([(i, v, "d", "b", "k", "x") for i, v in enumerate(words[6000:])], STREAM)
+    row = seen.seen_rate(stream, known, bits=bits, batch=1000).first()
+    assert row.looked_up == 6000 and row.wrong == row.seen
+    assert row.wrong == 0 if bits == 32 else 10 < row.wrong < 120
+
+
+def test_seen_in_store(spark, tmp_path):
+    """A later batch is answered from the stored parts; the tables of earlier keys are gone. A batch that is repeated gives the same rows."""
+    words = [dna(31, 100 + i) for i in range(300)]
+    store = f"file://{tmp_path}/parts"
+    seen.sealed(spark.createDataFrame([(w,) for w in words[:40]] + [(None,), ("AC",)], "c string"), 8, part=7).write.parquet(f"{store}/generation=0")
+    made = lambda rows: spark.createDataFrame([(a, v, "d", "b", "k", "x") for a, v in rows], STREAM)
+    one = [(i, w) for i, w in enumerate(words[20:120])]
+    two = [(1000 + i, w) for i, w in enumerate(words[100:200] + words[:10] + words[190:195])]
+    get = lambda rows, n: sorted(r.arrival for r in seen.seen_in_store(made(rows), store, n, buckets=8, batch=16).collect())
+    assert get(one, 1) == list(range(20))
+    want = [*range(1000, 1020), *range(1100, 1115)]
+    assert get(two, 2) == want
+    assert get(two, 2) == want
+    assert get([], 3) == []
+    assert get(two, 4) == [a for a, _ in two]
+    kept = spark.read.parquet(store)
+    assert {r.generation for r in kept.where("length(sealed) > 0").select("generation").distinct().collect()} == {0, 1, 2}
+    assert sum(len(seen.Sealed.load(r.sealed).prints) for r in kept.collect()) == 200
+
+
+def test_pieces_strong_boundary():
+    """A strong boundary farther from the target is taken before a weak one at it; targets stay where they are."""
+    cut = pieces.balanced(7000, [3520, 3700], [10, 500], 4000, 30)
+    assert cut == [(0, 3700), (3670, 7000)]
+    assert pieces.balanced(7000, [3520, 3700], [500, 500], 4000, 30) == [(0, 3520), (3490, 7000)]
+    moved = pieces.balanced(11000, [4400, 7343], [900, 10], 4000, 30)  # one over the limit: four pieces
+    assert len(moved) == 4 and all(e - s <= 4000 for s, e in moved)
+    assert all(b[0] == a[1] - 30 for a, b in zip(moved, moved[1:]))
+    rng = random.Random(1)
+    for _ in range(300):
+        size, limit = rng.randint(101, 3000), rng.randint(50, 100)
+        overlap, ends = rng.randint(0, limit // 2 - 1), sorted(rng.sample(range(1, size), min(size - 1, 40)))
+        cut = pieces.balanced(size, ends, [rng.randint(10, 99) for _ in ends], limit, overlap)
+        assert cut[0][0] == 0 and cut[-1][1] == size and all(0 < e - s <= limit for s, e in cut)
+        assert all(b[0] == max(0, a[1] - overlap) and b[1] > a[1] for a, b in zip(cut, cut[1:]))
+
+
 def test_pieces(spark):
     long = dna(3000, 1) + "N" * 10 + dna(500, 2) + "n-" * 8 + dna(6000, 3) + " " * 9 + dna(2500, 4)
     rows = [(1, long), (1, long), (2, None), (3, ""), (4, "A" * 4000), (5, "A" * 4001), (None, "C" * 9000), (6, "N" * 9001), (7, "é" * 5000)]
@@ -354,6 +403,20 @@ def test_rulings():
         assert not rulings.court_written(none).strip()
 
 
+def test_rulings_of_any_length():
+    """Nothing in the cleaning counts characters: long quotes, citations, tags and headers, and very short texts."""
+    body = "It was wet."
+    wrap = lambda x: f"Facts\n1. {body} {x} It was old.\n\nReasons\n2. Fine.\n\nOrder\n1. Allowed."
+    for x in ("“" + "speech " * 2000 + "”", '"' + "speech " * 1000 + '"', "(see " + "speech (2020) " * 100 + ")", "<a href='" + "speech " * 40 + "'>", "\n" + "speech " * 30 + "   Page 3\n"):
+        got = rulings.court_written(wrap(x))
+        assert "speech" not in got and "wet" in got and "old" in got, x[:20]
+    assert "real" in rulings.court_written(wrap('a stray " mark, real text.\n\nMore real text, with no second mark'))
+    assert "real" in rulings.court_written(wrap("(see what is real\n\nand never closed"))
+    assert "long line" in rulings.court_written(wrap("\nA real sentence. And a long line that ends in page 3\n"))
+    assert "5 < 7" in rulings.court_written(wrap("as 5 < 7 and 9 > 8"))
+    assert rulings.court_written("Facts\n1. Wet.").strip() == "1. Wet."
+
+
 def test_levels(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/reading_label.parquet")
