@@ -459,8 +459,7 @@ def overlap_classes(spark, sf_dir):
 
 def _decoded(spark, sf_dir, parts):
     """The k-mers of superstrings in parts, as a set."""
-    k = superstring_rows(spark, sf_dir).select("ms_id", "k").distinct()
-    return kmers.windows(greedy.superstring(parts, "ms_id").join(k, "ms_id"), "k", "ms_id").where("up").select("ms_id", "c").distinct()
+    return greedy.decoded(parts, superstring_rows(spark, sf_dir).select("ms_id", "k").distinct(), "ms_id").select("ms_id", "c").distinct()
 
 
 @query(_MS + "select ms_id, c from rep")

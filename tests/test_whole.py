@@ -4,6 +4,7 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import greedy, masks
 
@@ -45,13 +46,21 @@ def test_pareto_joins_by_brute_force(spark, zeros, penalty, both, k, n):
     canon = random_set(k, n, both, 7)
     sets = spark.createDataFrame([("m", c) for c in canon], "ms_id string, c string")
     nodes = canon | {rc(c) for c in canon} if both else canon
-    pieces = greedy._pieces(sets, "ms_id", both).localCheckpoint()
-    got = {(r.a, r.b): r.cost for r in greedy._joins(sets, pieces, "ms_id", None, penalty, None, both, zeros).collect()}
-    texts = [r.u for r in pieces.collect()]
+    pieces = greedy._pieces(sets, "ms_id", both)
+    nodes_ = greedy._nodes(pieces, "ms_id", both)
+    text = {r.node: r.u for r in nodes_.collect()}
+    found = greedy._walks_with_gaps(sets, nodes_, "ms_id", penalty, both) if zeros else greedy._walks(nodes_, greedy._ends(pieces, "ms_id", both), "ms_id", F.lit(k - 1 + penalty))
+    got = {(text[r.u], text[r.v]): r.cost for r in found.collect()}
+    if not zeros:  # direct joins are made by overlap, level by level
+        for x in text.values():
+            for y in text.values():
+                direct = [k - d + (penalty if d < k - 1 else 0) for d in range(1, k) if x[-d:] == y[:d]]
+                if direct:
+                    got[x, y] = min(got.get((x, y), 10**6), *direct, 10**6)
     want = {}
-    for a in texts:
-        cost = cheapest(nodes, k, penalty, zeros, a[-k:])
-        want |= {(a, b): cost[b[:k]] for b in texts if b[:k] in cost}
+    for x in text.values():
+        cost = cheapest(nodes, k, penalty, zeros, x[-k:])
+        want |= {(x, y): cost[y[:k]] for y in text.values() if y[:k] in cost}
     assert got == want
     parts = greedy.joined(sets, "ms_id", penalty=penalty, steps=None, both_strands=both, zeros=zeros)
     seq = greedy.superstring(parts, "ms_id").first().seq
@@ -78,3 +87,65 @@ def test_fewest_runs_of_a_large_component(spark):
     rows = [("m", 1000 * i + at, f"c{n}") for i in range(18) for at, n in enumerate(n for n, s in enumerate(need) if i in s)]
     found = masks.fewest_runs(spark.createDataFrame(rows, "ms_id string, pos bigint, c string")).collect()
     assert len(found) == 8 and all({r['first'] // 1000 for r in found} & set(s) for s in need)
+
+
+def greedy_length(kmers, k, both):
+    """Least and greatest length that a greedy superstring of few k-mers may have: every order of ties is tried."""
+    start = tuple(sorted(kmers))
+    done = {}
+
+    def overlap(a, b):
+        return max((d for d in range(1, k) if a[-d:] == b[:d]), default=0)
+
+    def run(strings):
+        if strings in done:
+            return done[strings]
+        best = {}
+        for i, a in enumerate(strings):
+            for j, b in enumerate(strings):
+                if i != j:
+                    for x in {a, rc(a)} if both else {a}:
+                        for y in {b, rc(b)} if both else {b}:
+                            best.setdefault(overlap(x, y), []).append((i, j, x, y))
+        d = max(best, default=0)
+        if not d:
+            out = (sum(map(len, strings)),) * 2
+        else:
+            ways = [run(tuple(sorted([s for n, s in enumerate(strings) if n not in (i, j)] + [min(x + y[d:], rc(x + y[d:])) if both else x + y[d:]]))) for i, j, x, y in best[d]]
+            out = min(w[0] for w in ways), max(w[1] for w in ways)
+        done[strings] = out
+        return out
+
+    return run(start)
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_greedy_length_by_brute_force(spark, both):
+    """Sets of up to six k-mers: the length is one that some order of the ties gives."""
+    many = {f"m{i}": random_set(5, 3 + i % 4, both, 100 + i) for i in range(6)}
+    many = {m: set(sorted(s)[:6]) for m, s in many.items()}
+    sets = spark.createDataFrame([(m, c) for m, s in many.items() for c in s], "ms_id string, c string")
+    got = {r.ms_id: r.length for r in greedy.sizes(greedy.joined(sets, "ms_id", both_strands=both), "ms_id").collect()}
+    bound = {r.ms_id: r.bound for r in greedy.length_bound(sets, "ms_id", both).collect()}
+    for m, s in many.items():
+        least, most = greedy_length(s, 5, both)
+        assert least <= got[m] <= most and bound[m] <= least, m
+
+
+def test_levels_are_linear(spark):
+    """Ends that all fit each other: as many rows as there are ends, not their square."""
+    made = lambda w: spark.range(3000).selectExpr("'m' as ms_id", "5 as k", "id as end", "id as path", f"'{w}' as w")
+    fitting = lambda w, missing, both: greedy._fitting(made(w), "ms_id", missing, missing, both, False)
+    assert fitting("CCGC", 2, True).isEmpty()  # CGC fits GCG only
+    for missing, both, w in ((1, True, "ACGT"), (3, True, "CCGC"), (1, False, "AAAA"), (4, False, "AAAA")):
+        for salts in (1, 7):
+            pairs = greedy._paired(fitting(w, missing, both), "ms_id", 0, salts).collect()
+            assert 1500 - 150 * (salts > 1) <= len(pairs) <= 1500 and len({x for r in pairs for x in (r.a, r.b)}) == 2 * len(pairs)
+
+
+def test_runs_fall_as_the_penalty_grows(spark):
+    """The trade that the Pareto search makes: fewer runs for more letters."""
+    canon = random_set(5, 24, True, 11)
+    sets = spark.createDataFrame([("m", c) for c in canon], "ms_id string, c string")
+    got = [greedy.sizes(greedy.joined(sets, "ms_id", penalty=p, steps=None if p else 0), "ms_id").first() for p in (0, 40)]
+    assert got[0].runs >= got[1].runs and got[0].length <= got[1].length
