@@ -229,7 +229,7 @@ def _moved(scale: Scale, before: Scale | None, x: np.ndarray) -> float:
     return float("inf") if before is None else float((x * np.abs(scale.beta - before.beta)).sum() / max(x.sum(), 1))
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 3, tolerance: float = 0.02) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 2, tolerance: float = 0.02) -> DataFrame:
     """The level of each document's court-written text: doc_id, theta, level (1 to 5).
 
     Documents without such text (null, empty, only headers, headnotes or orders, no words of a known language) have null theta and level. Repeated
@@ -237,7 +237,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 3, tol
     Without any label the scale has no direction: all levels are null.
 
     Rounds end when a difficulty moves by less than ``tolerance`` in the mean over all occurrences, or after ``rounds``. Without that end the likelihood of the words
-    goes on to draw the scale away from what raters mean: level 4 or 5 is told for held-out ratings at sf0.1 in 97.8 % after 2 and 3 rounds, 97.2 % after 5, 96.3 % after 10.
+    goes on to draw the scale away from what raters mean: level 4 or 5 is told for held-out ratings at sf0.1 in 97.8 % after 2 and 3 rounds, 97.2 % after 5, 96.3 % after 10,
+    and for the few of sf0.01 in more than 90 % after 2, 88.9 % after 3.
     """
     rated = F.broadcast(ratings(labels))  # at most RATED rows of two numbers
     bagged = stage(_bagged(documents).join(rated, "doc_id", "left"))
