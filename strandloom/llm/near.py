@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packed import NONE, canonical, joined_codes, mix32, mix64, pack, unpack, whole
 from ..operators.components import components
-from ..runtime import buckets_for, spread, stage
+from ..runtime import buckets_for, by_bucket, spread, stage
 from .blocks import _groups, runs_of
 from .spans import _binary
 
@@ -183,7 +183,7 @@ def _candidates(signs: DataFrame, least: float, buckets: int, hot: int) -> DataF
             out.append((np.zeros(len(p), np.int8), p[:, 0], p[:, 1], np.zeros(len(p), np.int64)))
         return pa.table(dict(zip(("kind", "a", "b", "chain"), (np.concatenate(x) for x in zip(*out)))))
 
-    return signs.select("rep", "symbols").mapInArrow(send, "bucket int, hot boolean, key binary, rid binary, chain binary").groupBy("bucket").applyInArrow(meet, "kind tinyint, a bigint, b bigint, chain bigint")
+    return by_bucket(signs.select("rep", "symbols").mapInArrow(send, "bucket int, hot boolean, key binary, rid binary, chain binary"), buckets, "bucket").applyInArrow(meet, "kind tinyint, a bigint, b bigint, chain bigint")
 
 
 def _linked(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packed import mix64, windows
-from ..runtime import buckets_for, scanned_bytes, stage
-from .blocks import Block, letter_blocks, merged
+from ..runtime import buckets_for, by_bucket, scanned_bytes, stage
+from .blocks import Block, _groups, letter_blocks, merged
 
 #: Perfect difference sets, by their modulus.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
@@ -149,10 +149,10 @@ def _binary(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def _in_buckets(h: np.ndarray, width: int, buckets: int) -> np.ndarray:
-    """Where the hashes of each bucket begin in the sorted ``h``: buckets are ranges of hashes."""
-    edges = [-(-(i << 8 * width) // buckets) for i in range(1, buckets)]
-    return np.concatenate(([0], np.searchsorted(h, np.array(edges, np.uint64)), [len(h)]))
+def _in_buckets(h: np.ndarray, width: int, buckets: int) -> list[tuple[int, int, int]]:
+    """Bucket, begin and end of the hashes of each bucket that has some, in the sorted ``h``: buckets are ranges of hashes."""
+    bucket = (h >> np.uint64(8 * width - 32)) * np.uint64(buckets) >> np.uint64(32)
+    return [(int(bucket[lo]), lo, hi) for lo, hi in _groups(bucket)]
 
 
 def _shared(blocks: DataFrame, hashed, buckets: int, width: int, hot: int | None) -> DataFrame:
@@ -177,11 +177,7 @@ def _shared(blocks: DataFrame, hashed, buckets: int, width: int, hot: int | None
                 times = np.diff(np.append(first, len(h)))
                 several = np.minimum.reduceat(rid, first) != np.maximum.reduceat(rid, first)
                 h, rid, rows = h[first], rid[first], []
-                edge = _in_buckets(h, width, buckets)
-                for k in range(buckets):
-                    lo, hi = edge[k], edge[k + 1]
-                    if lo == hi:
-                        continue
+                for k, lo, hi in _in_buckets(h, width, buckets):
                     keys, owner = np.unique(rid[lo:hi], return_inverse=True)
                     owner = owner.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)
                     more = np.flatnonzero(times[lo:hi] > 1)
@@ -218,7 +214,7 @@ def _shared(blocks: DataFrame, hashed, buckets: int, width: int, hot: int | None
                 rows.append((block, _to_bytes(mine[~warm], width), _to_bytes(mine[warm], width) if warm.any() else None))
         return pa.Table.from_batches([_binary(rows, back)])
 
-    return blocks.mapInArrow(send, "bucket int, block bigint, hash binary, owner binary, rid binary, more binary").groupBy("bucket").applyInArrow(answer, "block bigint, normal binary, hot binary")
+    return by_bucket(blocks.mapInArrow(send, "bucket int, block bigint, hash binary, owner binary, rid binary, more binary"), buckets, "bucket").applyInArrow(answer, "block bigint, normal binary, hot binary")
 
 
 def _by_block(shared: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -246,11 +242,9 @@ def _extended(blocks: DataFrame, cover, window: int, buckets: int, width: int) -
                 right = np.minimum(b.end[run] - at - WORD, window - WORD).astype(left.dtype)
                 beside = np.stack([words[at + pad + d * WORD] for n in range(1, around + 1) for d in (-n, n)], 1)
                 room, rid, pos = np.stack([left, right], 1), b.rid[run], (b.at[run] + at - b.start[run]).astype(np.int32)
-                edge, rows = _in_buckets(_short(h, width), width, buckets), []
-                for k in range(buckets):
-                    lo, hi = edge[k], edge[k + 1]
-                    if lo < hi:
-                        rows.append((k, h[lo:hi].tobytes(), beside[lo:hi].tobytes(), room[lo:hi].tobytes(), rid[lo:hi].tobytes(), pos[lo:hi].tobytes()))
+                rows = []
+                for k, lo, hi in _in_buckets(_short(h, width), width, buckets):
+                    rows.append((k, h[lo:hi].tobytes(), beside[lo:hi].tobytes(), room[lo:hi].tobytes(), rid[lo:hi].tobytes(), pos[lo:hi].tobytes()))
                 yield _binary(rows, sent)
 
     def extend(table: pa.Table) -> pa.Table:
@@ -279,7 +273,7 @@ def _extended(blocks: DataFrame, cover, window: int, buckets: int, width: int) -
             spans = merged(*(np.concatenate(x) for x in zip(*spans)))
         return pa.table(dict(zip(("rid", "start_pos", "end_pos"), (pa.array(x, pa.int64()) for x in (spans or ([], [], []))))))
 
-    return blocks.mapInArrow(send, "bucket int, key binary, words binary, room binary, rid binary, pos binary").groupBy("bucket").applyInArrow(extend, "rid bigint, start_pos bigint, end_pos bigint")
+    return by_bucket(blocks.mapInArrow(send, "bucket int, key binary, words binary, room binary, rid binary, pos binary"), buckets, "bucket").applyInArrow(extend, "rid bigint, start_pos bigint, end_pos bigint")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, from_left: bool) -> np.ndarray:
