@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import islands
-
 
 def usable(rows: DataFrame) -> DataFrame:
     """Distinct masked superstrings (ms_id, k, superstring, mask) that are whole: letters of ACGT in either case and a mask of 0 and 1 of the same length. Superstrings in upper case."""
@@ -25,24 +28,77 @@ def split_case(rows: DataFrame, column: str = "seq") -> DataFrame:
     return rows.withColumn("mask", F.regexp_replace(F.regexp_replace(column, "[A-Z]", "1"), "[^1]", "0")).withColumn("superstring", F.upper(column))
 
 
+def _bits(mask: str) -> np.ndarray:
+    return np.frombuffer(mask.encode("ascii", "replace"), np.uint8) == ord("1")
+
+
+def _runs(mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of the runs of ones."""
+    step = np.diff(np.concatenate(([False], _bits(mask), [False])).astype(np.int8))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
+
+
 def join_case(rows: DataFrame) -> DataFrame:
-    """``seq``: superstring and mask as one text, ones in upper case."""
-    letters = F.zip_with(F.split("superstring", ""), F.split("mask", ""), lambda s, m: F.when(m == "1", F.upper(s)).otherwise(F.lower(s)))
-    return rows.withColumn("seq", F.array_join(letters, ""))
+    """``seq``: superstring and mask as one text, ones in upper case; null for null. Letters past the end of the mask are in lower case."""
+
+    @F.pandas_udf("string")
+    def joined(text: pd.Series, mask: pd.Series) -> pd.Series:
+        out = []
+        for s, m in zip(text, mask):
+            if s is None or m is None:
+                out.append(None)
+                continue
+            raw = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
+            one = np.zeros(len(raw), bool)
+            one[: len(m)] = _bits(m)[: len(raw)]
+            letter = (raw | 32 >= ord("a")) & (raw | 32 <= ord("z"))
+            out.append(np.where(letter, np.where(one, raw & 223, raw | 32), raw).astype(np.uint8).tobytes().decode("ascii"))
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn("seq", joined("superstring", "mask"))
 
 
 def ones(rows: DataFrame, *keys: str) -> DataFrame:
-    """Runs of ones of ``mask``: keys, first, last (positions from 0)."""
+    """Runs of ones of ``mask``: keys, first, last (positions from 0). Null masks give none."""
     keys = keys or ("ms_id",)
-    bits = rows.select(*keys, F.posexplode(F.split("mask", "")).alias("pos", "m")).where("m = '1'")
-    return islands(bits, list(keys))
+    kinds = dict(rows.dtypes)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, mask in enumerate(batch.column("mask").to_pylist()):
+                first, last = _runs(mask)
+                own = pa.array(np.full(len(first), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in keys), pa.array(first), pa.array(last)], names=[*keys, "first", "last"])
+
+    return rows.where("mask is not null").select(*keys, "mask").mapInArrow(find, ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["first bigint", "last bigint"]))
+
+
+def flips(rows: DataFrame) -> DataFrame:
+    """Positions at which a mask changes (before the first position it is 1): ms_id, pos."""
+    kind = dict(rows.dtypes)["ms_id"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, mask in enumerate(batch.column("mask").to_pylist()):
+                at = np.flatnonzero(np.diff(np.concatenate(([True], _bits(mask))).astype(np.int8)))
+                yield pa.RecordBatch.from_arrays([batch.column("ms_id").take(pa.array(np.full(len(at), i))), pa.array(at)], names=["ms_id", "pos"])
+
+    return rows.where("mask is not null").select("ms_id", "mask").mapInArrow(find, f"ms_id {kind}, pos bigint")
 
 
 def to_strings(rows: DataFrame) -> DataFrame:
     """The strings of a masked superstring: ms_id, sid (from 0), seq. A run of ones with the k - 1 letters after it, as far as there are any."""
-    runs = ones(rows).groupBy("ms_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    each = rows.join(runs, "ms_id").select("ms_id", "k", "superstring", F.posexplode("runs").alias("sid", "run"))
-    return each.select("ms_id", "sid", F.upper(F.substr("superstring", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + F.col("k"))).alias("seq"))
+    kind = dict(rows.dtypes)["ms_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (k, text, mask) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "superstring", "mask")))):
+                first, last = _runs(mask)
+                text = text.upper()
+                own = pa.array(np.full(len(first), i))
+                yield pa.RecordBatch.from_arrays([batch.column("ms_id").take(own), pa.array(np.arange(len(first))), pa.array([text[a : b + k] for a, b in zip(first.tolist(), last.tolist())], pa.string())], names=["ms_id", "sid", "seq"])
+
+    return rows.where("k is not null and superstring is not null and mask is not null").select("ms_id", "k", "superstring", "mask").mapInArrow(cut, f"ms_id {kind}, sid bigint, seq string")
 
 
 def from_strings(records: DataFrame, k: int) -> DataFrame:

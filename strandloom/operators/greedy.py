@@ -119,7 +119,7 @@ class _Joining:
             self.rounds += 1
             if n:
                 self.take(pairs, n)
-            elif idle == 1 and self.looking.isEmpty():
+            elif idle == 1 and self.looking.isEmpty():  # else other numbers may bring ends of different paths together
                 return
 
     def step(self, first: int, last: int, walks: DataFrame | None) -> DataFrame:
@@ -226,23 +226,26 @@ def _as_ends(walks: DataFrame, key: str, both_strands: bool) -> DataFrame:
 
 
 def _bands(longest: int) -> list[tuple[int, int]]:
-    """Numbers of missing letters that are tried together; most ends are joined by the first."""
-    edges = [1, 2, 8, 32]
-    while edges[-1] <= longest:
-        edges.append(4 * edges[-1])
-    return [(lo, min(hi - 1, longest)) for lo, hi in zip(edges, edges[1:]) if lo <= longest]
+    """Numbers of missing letters that are tried together; one letter joins most ends, so the others are tried for what it leaves."""
+    return [(lo, hi) for lo, hi in ((1, 1), (2, longest)) if lo <= hi <= longest]
 
 
-def joined(sets: DataFrame, key: str, deepest: int | None = None, penalty: int = 0, steps: int | None = 0, both_strands: bool = True, zeros: bool = False) -> DataFrame:
+def joined(sets: DataFrame | None, key: str, deepest: int | None = None, penalty: int = 0, steps: int | None = 0, both_strands: bool = True, zeros: bool = False, strings: DataFrame | None = None) -> DataFrame:
     """Parts of a masked superstring of each k-mer set (key, c): key, chain, place, part.
 
     Overlaps are tried from k - 1 down to k - ``deepest``: 1 gives simplitigs, None every length (the global greedy).
     With ``steps`` a walk of up to so many letters (None: as many as are cheaper than a new run) over k-mers that are written elsewhere may join
     strings too, if it is cheaper than the letters and the ``penalty`` of a new run, or with ``zeros`` of each letter without a one; those k-mers
     have ones again. The parts of a chain in the order of place are its text with the mask as case; the chains in any order are the superstring.
+    ``strings`` (key, k, seq) in place of ``sets`` are joined as they are: they are trusted to hold each k-mer of the set once.
     """
-    sets = stage(sets.select(key, "c").distinct())
-    pieces = _pieces(sets, key, both_strands)
+    if strings is not None:
+        given = strings.where("length(seq) >= k").select(key, F.col("k").cast("int").alias("k"), F.upper("seq").alias("seq"))
+        pieces = stage(given.withColumn("id", F.monotonically_increasing_id()))
+        sets = windows(given, "k", key, both_strands=both_strands, texts="c").select(key, "c").distinct() if zeros else None
+    else:
+        sets = stage(sets.select(key, "c").distinct())
+        pieces = _pieces(sets, key, both_strands)
     nodes = _nodes(pieces, key, both_strands)
     longest = (pieces.agg(F.max("k")).first()[0] or 1) - 1
     longest = longest if deepest is None else min(longest, deepest)
@@ -297,18 +300,30 @@ def superstring(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chain", "place", "part"))).alias("x")).select(key, F.expr("array_join(transform(x, y -> y.part), '')").alias("seq"))
 
 
-def decoded(parts: DataFrame, ks: DataFrame, key: str, both_strands: bool = True) -> DataFrame:
-    """The k-mers with a one of superstrings in parts, as windows of the text: key, pos (in the part), u, c. ``ks``: key, k.
-
-    Each part is read with the k - 1 letters that follow it in its chain, so no task holds a superstring; chains are read in blocks.
-    """
+def _with_next(parts: DataFrame, ks: DataFrame, key: str) -> DataFrame:
+    """``parts`` with ``seq``: each part with the k - 1 letters that follow it in its chain, so no task holds a superstring; chains are read in blocks. ``ks``: key, k."""
     block, most = F.floor(F.col("place") / BLOCK), (ks.agg(F.max("k")).first()[0] or 1) - 1
     rows = parts.withColumn("block", block)
     before = rows.where((F.col("block") > 0) & (F.col("place") - F.col("block") * BLOCK < most)).withColumn("block", F.col("block") - 1)  # the next block's first parts, for their letters
     rows = rows.withColumn("own", F.lit(True)).unionByName(before.withColumn("own", F.lit(False))).join(ks, key)
     follow = Window.partitionBy(key, "chain", "block").orderBy("place").rowsBetween(1, max(1, most))
     rows = rows.withColumn("after", F.array_join(F.collect_list(F.left("part", F.col("k") - 1)).over(follow), "")).where("own")
-    return windows(rows.select(key, "k", F.concat("part", F.left("after", F.col("k") - 1)).alias("seq")), "k", key, both_strands=both_strands).where("up")
+    return rows.select(key, "k", "chain", "place", F.concat("part", F.left("after", F.col("k") - 1)).alias("seq"))
+
+
+def decoded(parts: DataFrame, ks: DataFrame, key: str, both_strands: bool = True) -> DataFrame:
+    """The k-mers with a one of superstrings in parts, as windows of the text: key, c. ``ks``: key, k."""
+    return windows(_with_next(parts, ks, key), "k", key, both_strands=both_strands, texts="c").where("up").select(key, "c")
+
+
+def both_masks(parts: DataFrame, ks: DataFrame, key: str, both_strands: bool = True) -> DataFrame:
+    """Fewest and most ones of one superstring: key, chain, place, pos (in the part), one (it is among the fewest), c. Every position of a k-mer of the set has a row.
+
+    The greedy superstring writes each k-mer with one one, so its own mask has the fewest; a window within a chain that is in the set has a one in the other mask.
+    Windows over the seam of two chains aren't looked at.
+    """
+    w = windows(_with_next(parts, ks, key), "k", key, "chain", "place", both_strands=both_strands, texts="c")
+    return w.join(w.where("up").select(key, "c").distinct(), [key, "c"], "left_semi").select(key, "chain", "place", "pos", F.col("up").alias("one"), "c")
 
 
 def sizes(parts: DataFrame, key: str) -> DataFrame:

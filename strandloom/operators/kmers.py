@@ -10,34 +10,90 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packed
-from ..functions.letters import from_number, is_valid, reverse_complement
+from ..functions.letters import from_number, is_valid, reverse_complement, to_number
 from ..runtime import spread
 
-#: Letters of a piece from which windows are taken; substring walks a text from its start.
-CHUNK = 512
+#: Letters of a text that are cut into windows at a time, and windows that leave a task together.
+CHUNK, SENT = 1 << 20, 1 << 15
+#: Positions in which runs are found at a time; runs that touch at the edges are put together afterwards.
+BLOCK = 1 << 16
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[ord("a") : ord("z") + 1] -= 32
+_OTHER = np.arange(256, dtype=np.uint8)
+for _a, _b in zip(b"ACGTacgt", b"TGCATGCA"):
+    _OTHER[_a] = _b
 
 
 def _k(k: int | str) -> Column:
     return F.lit(k) if isinstance(k, int) else F.col(k)
 
 
-def windows(records: DataFrame, k: int | str, *keys: str, both_strands: bool = True) -> DataFrame:
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as texts of one length."""
+    n, k = rows.shape
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows)))
+
+
+def _pieces(seqs: list[str], k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Bytes of joined texts in pieces that overlap by k - 1, the place of each piece, and where the texts start. A text is walked once, however long."""
+    raw = np.frombuffer(("\n".join(seqs) + "\n").encode("ascii", "replace"), np.uint8)
+    first = np.concatenate(([0], np.cumsum(np.fromiter((len(s) + 1 for s in seqs), np.int64, len(seqs)))))
+    for at in range(0, len(raw) - k + 1, CHUNK):
+        yield raw[at : at + CHUNK + k - 1], at, first
+
+
+def _text_groups(seqs: list[str]) -> list[tuple[int, int]]:
+    """Ranges of texts of about a chunk of letters together."""
+    part = np.cumsum(np.fromiter(map(len, seqs), np.int64, len(seqs))) // CHUNK
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(seqs)])) if len(seqs) else [0]
+    return list(zip(edge[:-1], edge[1:]))
+
+
+def windows(records: DataFrame, k: int | str, *keys: str, both_strands: bool = True, texts: str = "uc") -> DataFrame:
     """Every window of k letters of ``seq``: keys, pos (from 0), u (upper case), c (canonical), up (first letter is upper case).
 
-    k is a number or a column. Anything but ACGT in either case breaks windows. Null, empty and short texts give none.
+    k is a number or a column, without a limit. Anything but ACGT in either case breaks windows. Null, empty and short texts give none. Of u and c
+    only those named in ``texts`` are made.
     """
     keys = keys or ("rid",)
     extra = [k] if isinstance(k, str) and k not in keys else []
-    k = _k(k)
-    pieces = (
-        spread(records.select(*keys, *extra, "seq")).where(F.length("seq") >= k)
-        .select(*keys, *extra, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(CHUNK))).alias("off"))
-        .select(*keys, *extra, "off", F.substr("seq", F.col("off") + 1, k + (CHUNK - 1)).alias("part"))
-    )
-    cut = pieces.select(*keys, *extra, "off", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("j"))
-    out = cut.select(*keys, *extra, (F.col("off") + F.col("j")).cast("bigint").alias("pos"), F.substr("part", F.col("j") + 1, k).alias("w")).where(is_valid("w"))
-    u = F.upper("w")
-    return out.select(*keys, *extra, "pos", u.alias("u"), (F.least(u, reverse_complement("w")) if both_strands else u).alias("c"), (F.left("w", F.lit(1)) <= "Z").alias("up"))
+    kinds = dict(records.dtypes)
+    fields = [f"`{c}` {kinds[c]}" for c in (*keys, *extra)] + ["pos bigint", *(f"{x} string" for x in texts), "up boolean"]
+    names = [*keys, *extra, "pos", *texts, "up"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.full(batch.num_rows, k) if isinstance(k, int) else batch.column(k).to_numpy()
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                seqs = batch.column("seq").take(pa.array(rows)).to_pylist()
+                for lo, hi in _text_groups(seqs):
+                    for raw, begin, first in _pieces(seqs[lo:hi], size):
+                        yield from of_piece(batch, rows[lo:hi], raw, begin, first, size)
+
+    def of_piece(batch, rows, raw, begin, first, size):
+        every = np.flatnonzero(packed.whole(packed.CODE[raw], size))
+        upper, other = _UPPER[raw], _OTHER[raw]
+        ahead, back = (np.lib.stride_tricks.sliding_window_view(x, size) for x in (upper, other))
+        for i in range(0, len(every), SENT):
+            at = every[i : i + SENT]
+            owner = np.searchsorted(first, at + begin, "right") - 1
+            u = ahead[at]
+            out = {"pos": pa.array(at + begin - first[owner]), "up": pa.array(raw[at] < ord("a")), "u": None, "c": None}
+            if "u" in texts:
+                out["u"] = _fixed(u)
+            if "c" in texts:
+                c = u
+                if both_strands:
+                    r = back[at][:, ::-1]
+                    differ = (u != r).argmax(1)
+                    row = np.arange(len(at))
+                    c = np.where((r[row, differ] < u[row, differ])[:, None], r, u)
+                out["c"] = _fixed(c)
+            taken = pa.array(rows[owner])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in (*keys, *extra)), *(out[c] for c in names[len(keys) + len(extra) :])], names=names)
+
+    return spread(records.select(*keys, *extra, "seq")).where((F.length("seq") >= _k(k)) & (_k(k) > 0)).mapInArrow(cut, ", ".join(fields))
 
 
 def kmer_set(records: DataFrame, k: int, *keys: str, both_strands: bool = True, upper_only: bool = False) -> DataFrame:
@@ -45,7 +101,7 @@ def kmer_set(records: DataFrame, k: int, *keys: str, both_strands: bool = True,
     if k <= 31 and len(keys) <= 1:
         rows = counted(records, k, *keys, both_strands=both_strands)
         return (rows.where("up") if upper_only else rows).select(*keys, from_number("number", k).alias("c"))
-    w = windows(records, k, *(keys or ("rid",)), both_strands=both_strands)
+    w = windows(records, k, *(keys or ("rid",)), both_strands=both_strands, texts="c")
     return (w.where("up") if upper_only else w).select(*keys, "c").distinct()
 
 
@@ -65,7 +121,7 @@ def frequent(records: DataFrame, k: int, least: int, *keys: str) -> DataFrame:
     """Canonical k-mers that occur at least so often: keys, c, n."""
     if k <= 31 and len(keys) <= 1:
         return counted(records, k, *keys).where(F.col("n") >= least).select(*keys, from_number("number", k).alias("c"), "n")
-    return windows(records, k, *(keys or ("rid",))).groupBy(*keys, "c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return windows(records, k, *(keys or ("rid",)), texts="c").groupBy(*keys, "c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def contained(kmers: DataFrame, known: DataFrame) -> DataFrame:
@@ -78,6 +134,13 @@ def erased(kmers: DataFrame, known: DataFrame) -> DataFrame:
     return kmers.join(known.select("c").distinct(), "c", "left_anti")
 
 
+def marked(records: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The distinct canonical k-mers of records, k <= 31, and whether ``known`` (c) has each: c, known. One join of numbers; known k-mers of other lengths and nulls match nothing."""
+    old = known.where((F.length("c") == k) & is_valid("c")).select(to_number("c").alias("number")).distinct().withColumn("known", F.lit(True))
+    found = counted(records, k).select("number").join(old, "number", "left")
+    return found.select(from_number("number", k).alias("c"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def one_of_each_pair(kmers: DataFrame) -> DataFrame:
     """Of k-mers u, one of each complementary pair: the smaller."""
     return kmers.select(F.least("u", reverse_complement("u")).alias("u")).distinct()
@@ -96,14 +159,58 @@ def by_prefix(kmers: DataFrame, letters: int = 4, parts: int | None = None) -> D
 
 def first_windows(records: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
     """Where each canonical k-mer stands first, in the order of (rid, pos): rid, pos, c. A frequent k-mer is combined before the shuffle."""
-    w = windows(records, k, both_strands=both_strands)
+    if k <= 31:
+        return first_positions(records, k, both_strands).select("rid", "pos", from_number("number", k).alias("c"))
+    w = windows(records, k, both_strands=both_strands, texts="c")
     return w.groupBy("c").agg(F.min(F.struct("rid", "pos")).alias("at")).select("at.rid", "at.pos", "c")
 
 
+def first_positions(records: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
+    """``first_windows`` with k-mers as numbers, k <= 31: number, rid, pos. A k-mer leaves a batch once."""
+    if not 0 < k <= 31:
+        raise ValueError("k of 1 to 31; longer k-mers are strings, see first_windows")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, rids = batch.column("seq").to_pylist(), batch.column("rid").to_numpy()
+            for lo, hi in _text_groups(seqs):
+                for raw, begin, first in _pieces(seqs[lo:hi], k):
+                    codes = packed.CODE[raw]
+                    at = np.flatnonzero(packed.whole(codes, k))
+                    number = (packed.canonical if both_strands else packed.windows)(codes, k)[at]
+                    owner = np.searchsorted(first, at + begin, "right") - 1
+                    rid, pos = rids[lo:hi][owner], at + begin - first[owner]
+                    order = np.lexsort((pos, rid, number))
+                    order = order[np.concatenate(([True], np.diff(number[order]) != 0))[: len(order)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(number[order].view(np.int64)), pa.array(rid[order]), pa.array(pos[order])], names=["number", "rid", "pos"])
+
+    rows = spread(records.select(F.col("rid").cast("bigint").alias("rid"), "seq")).where((F.length("seq") >= k) & F.col("rid").isNotNull()).mapInArrow(find, "number bigint, rid bigint, pos bigint")
+    return rows.groupBy("number").agg(F.min(F.struct("rid", "pos")).alias("at")).select("number", "at.rid", "at.pos")
+
+
+def in_blocks(rows: DataFrame, keys: list[str], at: str = "pos") -> DataFrame:
+    """``rows`` with the block of each position and a number that consecutive positions of a block share: _b, _g. Positions are distinct within keys."""
+    rows = rows.withColumn("_b", F.floor(F.col(at) / BLOCK))
+    return rows.withColumn("_g", F.col(at) - F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(at)))
+
+
+def block_runs(rows: DataFrame, keys: list[str], at: str = "pos") -> DataFrame:
+    """Of ``in_blocks``: keys, _b, _g, and the first and last position of the run that these are part of, over the edges of blocks.
+
+    Only runs at the edges, two a block at most, are sorted by key.
+    """
+    parts = rows.groupBy(*keys, "_b", "_g").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    edge = (F.col("first") % BLOCK == 0) | ((F.col("last") + 1) % BLOCK == 0)
+    by = Window.partitionBy(*keys).orderBy("first")
+    some = parts.where(edge).withColumn("_n", F.when(F.lag("last").over(by) + 1 == F.col("first"), 0).otherwise(1)).withColumn("_n", F.sum("_n").over(by))
+    run = Window.partitionBy(*keys, "_n")
+    some = some.withColumn("_f", F.min("first").over(run)).withColumn("_l", F.max("last").over(run))
+    return parts.where(~edge).unionByName(some.select(*keys, "_b", "_g", F.col("_f").alias("first"), F.col("_l").alias("last")))
+
+
 def islands(rows: DataFrame, keys: list[str], at: str = "pos") -> DataFrame:
-    """Runs of consecutive positions: keys, first, last."""
-    by = Window.partitionBy(*keys).orderBy(at)
-    return rows.select(*keys, at, (F.col(at) - F.row_number().over(by)).alias("_g")).groupBy(*keys, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("_g")
+    """Runs of consecutive positions: keys, first, last. Found in blocks of positions, so one key may hold any number of them."""
+    return block_runs(in_blocks(rows.select(*keys, at), keys, at), keys, at).select(*keys, "first", "last").distinct()
 
 
 def counted(records: DataFrame, k: int, key: str | None = None, both_strands: bool = True) -> DataFrame:
@@ -123,20 +230,14 @@ def counted_in_batches(records: DataFrame, k: int, key: str | None = None, both_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = [s or "" for s in batch.column("seq").to_pylist()]
+            seqs = batch.column("seq").to_pylist()
             groups = batch.column(key).dictionary_encode() if key else None
-            group = groups.indices.to_numpy(zero_copy_only=False).astype(float) if key else np.zeros(len(seqs))
-            part = np.cumsum(np.fromiter(map(len, seqs), np.int64, len(seqs))) >> 21
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(seqs)])) if len(seqs) else [0]
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                codes, first = packed.joined_codes(seqs[lo:hi])
-                if len(codes) < k:
-                    continue
+            group = np.nan_to_num(groups.indices.to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int32) if key else None
+            for raw, begin, first, lo in ((*x, lo) for lo, hi in _text_groups(seqs) for x in _pieces(seqs[lo:hi], k)):
+                codes = packed.CODE[raw]
                 at = np.flatnonzero(packed.whole(codes, k))
                 number = (packed.canonical if both_strands else packed.windows)(codes, k)[at]
-                raw = np.frombuffer(("\n".join(seqs[lo:hi]) + "\n").encode("ascii", "replace"), np.uint8)
-                owner = np.nan_to_num(group[lo:hi], nan=-1).astype(np.int32)
-                where = np.repeat(owner, np.diff(first))[at] if key else None
+                where = group[lo + np.searchsorted(first, at + begin, "right") - 1] if key else None
                 order = np.lexsort((number, where)) if key else np.argsort(number)
                 number, up = number[order], raw[at[order]] < ord("a")
                 new = np.concatenate(([True], number[1:] != number[:-1]))[: len(number)]

@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
 from .components import components
 from .convert import join_case
-from .kmers import islands, windows
+from .kmers import block_runs, in_blocks, islands, windows
 
 
 def placed(ms: DataFrame, both_strands: bool = True) -> DataFrame:
     """All windows of superstrings whose k-mer is represented: ms_id, k, pos, c, up (it has a one)."""
-    w = windows(join_case(ms), "k", "ms_id", both_strands=both_strands)
+    w = windows(join_case(ms), "k", "ms_id", both_strands=both_strands, texts="c")
     return w.join(w.where("up").select("ms_id", "c").distinct(), ["ms_id", "c"], "left_semi").select("ms_id", "k", "pos", "c", "up")
 
 
 def represented(ms: DataFrame, both_strands: bool = True) -> DataFrame:
     """The k-mer set of each masked superstring: ms_id, c."""
-    return windows(join_case(ms), "k", "ms_id", both_strands=both_strands).where("up").select("ms_id", "c").distinct()
+    return windows(join_case(ms), "k", "ms_id", both_strands=both_strands, texts="c").where("up").select("ms_id", "c").distinct()
 
 
 def fewest_ones(windows_: DataFrame) -> DataFrame:
@@ -41,8 +41,7 @@ def runs(positions: DataFrame) -> DataFrame:
 def written(ms: DataFrame, ones: DataFrame) -> DataFrame:
     """``mask`` of superstrings from runs of ones (ms_id, first, last): ms_id, k, superstring, mask."""
     lists = ones.groupBy("ms_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    text = F.expr("""aggregate(coalesce(runs, array()), named_struct('m', '', 'at', 0L), (a, r) -> named_struct('m', a.m || repeat('0', cast(r.first - a.at as int)) || repeat('1', cast(r.last - r.first + 1 as int)), 'at', r.last + 1),
-        a -> rpad(a.m, length(superstring), '0'))""")
+    text = F.expr("""rpad(array_join(transform(coalesce(runs, array()), (r, i) -> repeat('0', cast(r.first - if(i = 0, 0, runs[i - 1].last + 1) as int)) || repeat('1', cast(r.last - r.first + 1 as int))), ''), length(superstring), '0')""")
     return ms.join(lists, "ms_id", "left").select("ms_id", "k", "superstring", text.alias("mask"))
 
 
@@ -52,12 +51,21 @@ def last_is_represented(ms: DataFrame) -> DataFrame:
     return ms.join(found, "ms_id", "left").select("ms_id", F.coalesce(F.col("last") == F.length("superstring") - F.col("k"), F.lit(False)).alias("last_represented"))
 
 
+def _with_intervals(windows_: DataFrame) -> DataFrame:
+    """``windows_`` with the first position of the interval that each is in."""
+    rows = in_blocks(windows_, ["ms_id"])
+    found = block_runs(rows, ["ms_id"]).select("ms_id", "_b", "_g", F.col("first").alias("interval"))
+    return rows.join(found, ["ms_id", "_b", "_g"]).drop("_b", "_g")
+
+
 def intervals(windows_: DataFrame) -> DataFrame:
     """Maximal runs of positions with represented k-mers, and the k-mers in them: ms_id, interval (its first position), c."""
-    spans = runs(most_ones(windows_))
-    first = spans.select("ms_id", F.col("first").alias("pos"), F.col("first").alias("interval"))
-    by = Window.partitionBy("ms_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return windows_.join(first, ["ms_id", "pos"], "left").withColumn("interval", F.last("interval", True).over(by)).select("ms_id", "interval", "c").distinct()
+    return _with_intervals(windows_).select("ms_id", "interval", "c").distinct()
+
+
+def covered(windows_: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The k-mers in chosen intervals (ms_id, first): ms_id, c."""
+    return intervals(windows_).join(chosen.select("ms_id", F.col("first").alias("interval")), ["ms_id", "interval"], "left_semi").select("ms_id", "c").distinct()
 
 
 def presolved(inside: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,9 +6,10 @@ import bz2
 import lzma
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .convert import flips  # noqa: F401
 from .kmers import kmer_set
 
 
@@ -41,13 +42,6 @@ def run_lengths(ones: DataFrame, *keys: str) -> DataFrame:
     return ones.select(*keys, (F.col("last") - F.col("first") + 1).alias("run_length")).groupBy(*keys, "run_length").agg(F.count("*").alias("n"))
 
 
-def flips(ms: DataFrame) -> DataFrame:
-    """Positions at which a mask changes (before the first position it is 1): ms_id, pos."""
-    bits = ms.select("ms_id", F.posexplode(F.split("mask", "")).alias("pos", "m"))
-    before = F.lag("m", 1, "1").over(Window.partitionBy("ms_id").orderBy("pos"))
-    return bits.withColumn("before", before).where("m <> before").select("ms_id", "pos")
-
-
 def report_sizes(results: DataFrame) -> DataFrame:
     """Published lengths and runs (dataset, k, method, superstring, mask; each one too large by a newline) with the size of the mask: adds elias_fano.
 
@@ -57,10 +51,21 @@ def report_sizes(results: DataFrame) -> DataFrame:
     return good.withColumn("elias_fano", elias_fano_bits(F.col("superstring") - 1, 2 * (F.col("mask") - 1)))
 
 
-def report_grid(results: DataFrame, methods: list[str]) -> DataFrame:
-    """Lengths by dataset and k, a column for each method (a repeated row counts once, -1 as null)."""
-    rows = results.distinct().where("dataset is not null").withColumn("superstring", F.when(F.col("superstring") >= 0, F.col("superstring")))
-    return rows.groupBy("dataset", "k").pivot("method", methods).agg(F.max("superstring"))
+def report_grid(results: DataFrame) -> DataFrame:
+    """Lengths by dataset and k, a column for each method that there is (a repeated row counts once, -1 as null)."""
+    rows = results.where("dataset is not null and method is not null").withColumn("superstring", F.when(F.col("superstring") >= 0, F.col("superstring")))
+    return rows.groupBy("dataset", "k").pivot("method").agg(F.max("superstring"))
+
+
+def bits_per_letter(results: DataFrame) -> DataFrame:
+    """Reported lengths with the bits of their letters (two each) and of their masks, together for each k-mer of the set (``kmer_count``, a true value): dataset, k, method, bits, per_kmer.
+
+    Rows that aren't applicable, and sets without a reported number of k-mers, are left out; repeated rows count once.
+    """
+    kmers_ = results.where("method = 'kmer_count' and mask > 0").select("dataset", "k", F.col("mask").alias("kmers")).distinct()
+    each = report_sizes(results).where("method <> 'kmer_count' and method not like 'lowerbound%'")
+    bits = 2 * (F.col("superstring") - 1) + F.col("elias_fano")
+    return each.join(kmers_, ["dataset", "k"]).select("dataset", "k", "method", bits.alias("bits"), (bits / F.col("kmers")).alias("per_kmer")).distinct()
 
 
 def set_equality(a: DataFrame, b: DataFrame) -> DataFrame:

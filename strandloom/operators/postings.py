@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stage
+
 #: BM25 parameters, and the least weight of a term.
 B, K1, LEAST_IDF = 0.5, 1.2, 1e-6
 
 
 def terms(column: str):
-    """Words of a text, in lower case."""
-    return F.regexp_extract_all(F.lower(column), F.lit(r"([a-zà-ÿ]+)"), 1)
+    """Words of a text, runs of letters of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+)"), 1)
+
+
+def kept(documents: DataFrame, id_column: str = "doc_id", text: str = "text", at: str | None = None) -> DataFrame:
+    """``postings`` as a written table, in the folder ``at`` for later sessions (where it is there already it is only read), else in the session's shared folder.
+
+    Everything that is asked of an index reads its lists several times; written once, texts are cut into words once.
+    """
+    if at is None:
+        return stage(postings(documents, id_column, text))
+    spark = documents.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        postings(documents, id_column, text).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
 
 
 def postings(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

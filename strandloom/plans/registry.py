@@ -91,8 +91,7 @@ def streamed_kmers(spark, sf_dir):
 @query(_CUT + ", known as (select distinct c from kmer_known) select c, c in (select c from known) as known from (select distinct c from w)")
 def kmer_membership(spark, sf_dir):
     """Which k-mers of the records are known ones."""
-    found, known = kmers.kmer_set(records(spark, sf_dir), K), table(spark, sf_dir, "kmer_known")
-    return kmers.contained(found, known).withColumn("known", F.lit(True)).union(kmers.erased(found, known).withColumn("known", F.lit(False)))
+    return kmers.marked(records(spark, sf_dir), table(spark, sf_dir, "kmer_known"), K)
 
 
 @query("select c, cast(list_sum(list_transform(range(31), lambda i: (instr('ACGT', c[i + 1:i + 1]) - 1) * power(4, 30 - i)::hugeint)) as bigint) as number, c as back from (select distinct c from kmer_known)")
@@ -139,6 +138,30 @@ def streaming_parts(spark, sf_dir):
     return superstrings.streaming(records(spark, sf_dir), K)
 
 
+_CUT12 = _CUT.replace(f"{K - 1}", "11").replace(f"{K}", "12")
+
+
+@query(_CUT12 + ", n as (select u, least(count(*), case when u = reverse(translate(u, 'ACGT', 'TGCA')) then 2 else 1 end) as n from w group by u) select n, count(*) as kmers from n group by n")
+def kmers_without_repeats(spark, sf_dir):
+    """K6: 12-mers of one strand with a palindrome up to twice and any other once, by how often they are left."""
+    left = kmers.without_repeats(kmers.windows(records(spark, sf_dir), 12, both_strands=False, texts="u").select("u"), 12)
+    return left.groupBy("u").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("kmers"))
+
+
+@query(_CUT + "select substr(c, 1, 4) as head, count(distinct c) as n, 1 as parts from w group by 1")
+def kmers_by_prefix(spark, sf_dir):
+    """K-mers dealt by their first letters; those with the same letters are in one partition."""
+    dealt = kmers.by_prefix(kmers.kmer_set(records(spark, sf_dir), K).withColumnRenamed("c", "u")).select(F.left("u", F.lit(4)).alias("head"), F.spark_partition_id().alias("part"))
+    return dealt.groupBy("head").agg(F.count("*").alias("n"), F.countDistinct("part").cast("int").alias("parts"))
+
+
+@query(f"with r as (select distinct rid, upper(seq) as s from fasta_record where rid is not null and length(seq) >= {K}) select rid, length(s) - {K - 1} as windows, list_max(list_filter(range({K}), lambda d: right(s, d) = left(s, d))) as overlap from r")
+def record_ends(spark, sf_dir):
+    """windows of each record, and the letters that its end shares with its start, fewer than 31."""
+    rows = records(spark, sf_dir).where(F.length("seq") >= K).select("rid", F.upper("seq").alias("s")).distinct()
+    return rows.select("rid", letters.windows_in("s", K).cast("bigint").alias("windows"), letters.overlap(F.right("s", F.lit(K)), F.left("s", F.lit(K)), K).cast("bigint").alias("overlap"))
+
+
 _MS = """
 with ms as (select distinct ms_id, k, upper(superstring) as s, mask as m from masked_superstring where k > 0 and length(superstring) = length(mask) and length(mask) > 0 and translate(mask, '01', '') = '' and translate(superstring, 'ACGTacgt', '') = ''),
 cut as (select ms_id, k, p as pos, s[p + 1:p + k] as u, m[p + 1:p + 1] = '1' as up from (select *, unnest(range(length(s) - k + 1)) as p from ms)),
@@ -196,9 +219,8 @@ def mask_fewest_runs_approximately(spark, sf_dir):
 @query(_MS + "select ms_id, c from rep")
 def mask_fewest_runs_decoded(spark, sf_dir):
     """M3: the k-mers under the mask with few runs; they must be the represented ones."""
-    ms = superstring_rows(spark, sf_dir)
-    found = masks.written(ms, masks.fewest_runs(masks.placed(ms)))
-    return masks.represented(found)
+    found = masks.placed(superstring_rows(spark, sf_dir))
+    return masks.covered(found, masks.fewest_runs(found))
 
 
 @query()
@@ -263,13 +285,10 @@ def report_mask_bits(spark, sf_dir):
     return measures.report_sizes(table(spark, sf_dir, "run_result"))
 
 
-_METHODS = ["unitigs", "simplitigs", "matchtigs", "greedy-minone", "greedy-maxone", "pareto-8", "pareto-512", "lowerbound_length"]
-
-
-@query("with r as (select distinct * from run_result where dataset is not null) select dataset, k, " + ", ".join(f"max(superstring) filter (where method = '{m}' and superstring >= 0) as \"{m}\"" for m in _METHODS) + " from r group by dataset, k")
+@query("select * from (pivot (select distinct dataset, k, method, case when superstring >= 0 then superstring end as superstring from run_result where dataset is not null and method is not null) on method using max(superstring) group by dataset, k)")
 def report_grid(spark, sf_dir):
     """Reported lengths, a column a method."""
-    return measures.report_grid(table(spark, sf_dir, "run_result"), _METHODS)
+    return measures.report_grid(table(spark, sf_dir, "run_result"))
 
 
 @query("with r as (select distinct dataset, k, method, superstring, mask from run_result where dataset is not null and k is not null) select r.dataset, r.k, r.method, r.superstring / b.superstring as over_bound from r join r b on r.dataset = b.dataset and r.k = b.k and b.method = 'lowerbound_length' where r.superstring > 0 and b.superstring > 0 and r.method <> 'lowerbound_length'")
@@ -320,9 +339,9 @@ def superstring_bytes(spark, sf_dir):
 
 
 _INDEX = """
-with words as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) as term from documents where doc_id is not null),
+with words as (select doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as term from documents where doc_id is not null),
 idx as (select term, doc_id, count(*) as freq from words group by all),
-asked as (select doc_id as qid, unnest(regexp_extract_all(lower(court), '[a-zà-ÿ]+')) as term from documents where doc_id % 50 = 0),
+asked as (select doc_id as qid, unnest(regexp_extract_all(lower(court), '\\p{L}+')) as term from documents where doc_id % 50 = 0),
 q as (select qid, term, count(*) as times from asked group by all),
 need as (select qid, count(*) as need from q group by qid),
 lens as (select doc_id, sum(freq) as len from idx group by doc_id),
@@ -335,7 +354,7 @@ _RANKED = "select qid, rank, doc_id, score from (select *, row_number() over (pa
 
 
 def _index(spark, sf_dir):
-    return postings.postings(table(spark, sf_dir, "documents"))
+    return postings.kept(table(spark, sf_dir, "documents"))
 
 
 def _asked(spark, sf_dir):
@@ -497,3 +516,44 @@ def superstring_sizes(spark, sf_dir):
 def length_bound(spark, sf_dir):
     """L1: lower bound of the length."""
     return greedy.length_bound(_sets(spark, sf_dir), "ms_id")
+
+
+@query(_MS + "select ms_id, c from rep")
+def strings_joined_decoded(spark, sf_dir):
+    """The strings of each masked superstring joined greedily as they are; the k-mers of the result."""
+    ms = superstring_rows(spark, sf_dir)
+    strings = convert.to_strings(ms).join(ms.select("ms_id", "k").distinct(), "ms_id").select("ms_id", "k", "seq")
+    return _decoded(spark, sf_dir, greedy.joined(None, "ms_id", strings=strings))
+
+
+@query(_MS + "select ms_id, count(*) as fewest, true as most_are_not_fewer from rep group by ms_id")
+def superstring_both_masks(spark, sf_dir):
+    """Both masks of the global greedy superstring: the fewest ones are one for each k-mer, and the mask with the most holds them."""
+    found = greedy.both_masks(greedy.joined(_sets(spark, sf_dir), "ms_id"), superstring_rows(spark, sf_dir).select("ms_id", "k").distinct(), "ms_id")
+    each = found.groupBy("ms_id", "c").agg(F.count_if("one").alias("ones"), F.count("*").alias("n"))
+    return each.groupBy("ms_id").agg(F.sum("ones").alias("fewest"), (F.sum("n") >= F.sum("ones")).alias("most_are_not_fewer"))
+
+
+@query(_MS + "select ms_id, count(*) as ones, true as not_under_bound, true as not_over_simplitigs from rep group by ms_id")
+def superstring_quality(spark, sf_dir):
+    """Ones of the global greedy superstring (one for each k-mer), and whether its length lies between the lower bound and the simplitigs one after another."""
+    sets = _sets(spark, sf_dir)
+    size = greedy.sizes(greedy.joined(sets, "ms_id"), "ms_id")
+    plain = greedy.sizes(greedy.joined(sets, "ms_id", 1), "ms_id").select("ms_id", F.col("length").alias("plain"))
+    both = size.join(greedy.length_bound(sets, "ms_id"), "ms_id").join(plain, "ms_id")
+    return both.select("ms_id", "ones", (F.col("length") >= F.col("bound")).alias("not_under_bound"), (F.col("length") <= F.col("plain")).alias("not_over_simplitigs"))
+
+
+@query(_NODES + """, outs as (select ms_id, u, min(v) as v from edges group by ms_id, u having count(*) = 1), ins as (select ms_id, v from edges group by ms_id, v having count(*) = 1),
+links as (select ms_id, u, v from outs semi join ins using (ms_id, v) where u <> v and v <> reverse(translate(u, 'ACGT', 'TGCA'))),
+heads as (select * from nodes anti join (select ms_id, v as u from links) using (ms_id, u)), n as (select ms_id, count(*) // 2 as unitigs from heads group by ms_id)
+select n.ms_id, unitigs, (select count(*) from rep where rep.ms_id = n.ms_id) as kmers from n""")
+def graph_unitig_counts(spark, sf_dir):
+    """Unitigs of each set and the k-mers in them; each begins where no unary link leads, once on either strand."""
+    return graph.unitigs(_sets(spark, sf_dir), "ms_id").groupBy("ms_id").agg(F.count("*").alias("unitigs"), F.sum("kmers").alias("kmers"))
+
+
+@query("with r as (select distinct dataset, k, method, superstring, mask from run_result), n as (select distinct dataset, k, mask as kmers from r where method = 'kmer_count' and mask > 0), b as (select r.*, kmers, superstring - 1 as len, 2 * (mask - 1) as n from r join n using (dataset, k) where superstring > 1 and mask > 1 and method <> 'kmer_count' and method not like 'lowerbound%')" + _EF_SQL + f"select distinct dataset, k, method, 2 * (superstring - 1) + {_EF_BITS} as bits, (2 * (superstring - 1) + {_EF_BITS}) / kmers as per_kmer from p")
+def report_bits(spark, sf_dir):
+    """Bits of letters and masks together, and for each k-mer."""
+    return measures.bits_per_letter(table(spark, sf_dir, "run_result"))

@@ -149,3 +149,35 @@ def test_runs_fall_as_the_penalty_grows(spark):
     sets = spark.createDataFrame([("m", c) for c in canon], "ms_id string, c string")
     got = [greedy.sizes(greedy.joined(sets, "ms_id", penalty=p, steps=None if p else 0), "ms_id").first() for p in (0, 40)]
     assert got[0].runs >= got[1].runs and got[0].length <= got[1].length
+
+
+def test_windows_and_runs_of_a_long_text(spark, monkeypatch):
+    """A record longer than what is cut at a time, and runs over the edges of blocks: each window and run once."""
+    import numpy as np
+
+    from strandloom.functions import packed
+    from strandloom.operators import convert, kmers
+
+    codes = np.random.default_rng(5).integers(0, 4, 2_300_000)
+    text = np.frombuffer(b"ACGT", np.uint8)[codes].tobytes().decode()
+    text = text[:1_048_570] + "N" + text[1_048_571:2_100_000] + "acgtn" + text[2_100_005:]
+    records = spark.createDataFrame([(1, text), (2, "ACGT" * 10), (3, None)], "rid bigint, seq string")
+    got = kmers.windows(records, 31, texts="c").where("rid = 1").select("pos", "c").toPandas().sort_values("pos")
+    whole = packed.whole(packed.joined_codes([text])[0], 31)
+    assert got.pos.tolist() == np.flatnonzero(whole).tolist()
+    for p in (0, 1_048_539, 1_048_571, 2_099_970, len(text) - 31):
+        w = text[p : p + 31].upper()
+        assert got.c[got.pos == p].tolist() == [min(w, rc(w))]
+    assert kmers.counted(records, 31).agg({"n": "sum"}).first()[0] == whole.sum() + 10
+    gaps = [0, 65_535, 65_536, 131_072, 400_000]
+    rows = spark.range(500_000).where(~F.col("id").isin(gaps)).selectExpr("'m' as ms_id", "id as pos")
+    runs = sorted((r["first"], r["last"]) for r in kmers.islands(rows, ["ms_id"]).collect())
+    assert runs == [(a + 1, b - 1) for a, b in zip(gaps, [*gaps[1:], 500_000]) if b - a > 1]
+    mask = "".join("0" if i in gaps else "1" for i in range(500_000))
+    ms = spark.createDataFrame([("m", 31, text[:500_000], mask)], "ms_id string, k int, superstring string, mask string")
+    assert sorted((r["first"], r["last"]) for r in convert.ones(ms).collect()) == runs
+    assert masks.written(ms, convert.ones(ms)).first().mask == mask
+    strings = sorted((r.sid, r.seq) for r in convert.to_strings(ms).collect())
+    assert strings == [(i, text[a : b + 31][: 500_000 - a]) for i, (a, b) in enumerate(runs)]
+    back = convert.split_case(convert.join_case(ms).select("ms_id", "seq")).first()
+    assert back.mask == mask and back.superstring == text[:500_000]
