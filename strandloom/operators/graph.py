@@ -99,6 +99,16 @@ def unitigs(sets: DataFrame, *keys: str, both_strands: bool = True) -> DataFrame
     return out.select(*keys, "kmers", "seq").distinct()
 
 
+def isolated_paths(sets: DataFrame, *keys: str, both_strands: bool = True) -> DataFrame:
+    """Unitigs that no k-mer of the set leads into and none continues: keys, kmers, seq. They can be left out of any matching of paths."""
+    nodes = oriented(sets, *keys) if both_strands else sets.select(*keys, F.col("c").alias("u"))
+    into = nodes.select(*keys, F.expr("right(u, length(u) - 1)").alias("x")).distinct()
+    out = nodes.select(*keys, F.expr("left(u, length(u) - 1)").alias("y")).distinct()
+    k = F.length("seq") - F.col("kmers") + 1
+    paths = unitigs(sets, *keys, both_strands=both_strands).withColumn("x", F.left("seq", k - 1)).withColumn("y", F.right("seq", k - 1))
+    return paths.join(into, [*keys, "x"], "left_anti").join(out, [*keys, "y"], "left_anti").select(*keys, "kmers", "seq")
+
+
 def longest_overlaps(nodes: DataFrame, *keys: str) -> DataFrame:
     """The longest overlap below k of each k-mer's end with any k-mer's start, its own included: keys, u, overlap.
 

@@ -146,6 +146,13 @@ def one_of_each_pair(kmers: DataFrame) -> DataFrame:
     return kmers.select(F.least("u", reverse_complement("u")).alias("u")).distinct()
 
 
+def complement_pairs(kmers: DataFrame) -> DataFrame:
+    """The k-mers u whose reverse complement is there too: u (the smaller), v (the reverse complement). A palindrome is its own."""
+    sides = kmers.select("u", reverse_complement("u").alias("v")).distinct()
+    both = sides.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("n"))
+    return both.where((F.col("n") == 2) | (F.col("u") == F.col("v"))).select("u", "v")
+
+
 def having_prefix(kmers: DataFrame, d: int) -> DataFrame:
     """k-mers u whose last d letters are the first d of another row or their own."""
     return kmers.withColumn("x", F.right("u", F.lit(d))).join(kmers.select(F.left("u", F.lit(d)).alias("x")).distinct(), "x", "left_semi").select("u")

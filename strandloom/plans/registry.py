@@ -138,6 +138,12 @@ def streaming_parts(spark, sf_dir):
     return superstrings.streaming(records(spark, sf_dir), K)
 
 
+@query(_CUT + "select u, reverse(translate(u, 'ACGT', 'TGCA')) as v from (select distinct u from w) a where u <= reverse(translate(u, 'ACGT', 'TGCA')) and reverse(translate(u, 'ACGT', 'TGCA')) in (select u from w)")
+def complement_pairs(spark, sf_dir):
+    """31-mers that stand in records on both strands, with their complements."""
+    return kmers.complement_pairs(kmers.windows(records(spark, sf_dir), K, both_strands=False, texts="u").select("u"))
+
+
 _CUT12 = _CUT.replace(f"{K - 1}", "11").replace(f"{K}", "12")
 
 
@@ -450,6 +456,19 @@ def graph_unitigs(spark, sf_dir):
     return graph.unitigs(_sets(spark, sf_dir), "ms_id")
 
 
+_LINKS = """, outs as (select ms_id, u, min(v) as v from edges group by ms_id, u having count(*) = 1), ins as (select ms_id, v from edges group by ms_id, v having count(*) = 1),
+links as (select ms_id, u, v from outs semi join ins using (ms_id, v) where u <> v and v <> reverse(translate(u, 'ACGT', 'TGCA')))"""
+
+
+@query(_NODES.replace("\nwith ", "\nwith recursive ", 1) + _LINKS + """, starts as (select * from nodes anti join (select ms_id, v as u from edges) using (ms_id, u)),
+walk as (select ms_id, u as head, u, 1 as n from starts union all select w.ms_id, w.head, l.v, n + 1 from walk w join links l on l.ms_id = w.ms_id and l.u = w.u),
+ends as (select * from walk anti join (select ms_id, u from edges) using (ms_id, u))
+select ms_id, n as kmers, count(*) // 2 as paths from ends group by ms_id, n""")
+def graph_isolated_paths(spark, sf_dir):
+    """Unitigs that hang together with no other, by their number of k-mers."""
+    return graph.isolated_paths(_sets(spark, sf_dir), "ms_id").groupBy("ms_id", "kmers").agg(F.count("*").alias("paths"))
+
+
 _OVERLAPS = _NODES + """, tails as (select ms_id, u, d, u[length(u) - d + 1:] as x from (select *, unnest(range(1, length(u))) as d from nodes)),
 heads as (select distinct ms_id, d, u[:d] as x from (select *, unnest(range(1, length(u))) as d from nodes)),
 best as (select ms_id, u, max(d) as d from tails semi join heads using (ms_id, d, x) group by ms_id, u),
