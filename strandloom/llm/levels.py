@@ -144,8 +144,13 @@ class Scale:
         return GRID[held.argmax(1)], GRID[free.argmax(1)]
 
 
-def _opened(batch: pa.RecordBatch):
-    """Documents of a batch with a language: rows, lang, owner, slot, count, n, rated."""
+def _opened(batch: pa.RecordBatch, scale: Scale | None = None):
+    """Documents of a batch with a language: rows, lang, owner, slot, count, n, rated.
+
+    With ``scale`` a document that no frequent word tells the language of takes the one that has most of its words.
+    """
+    if scale is not None and batch.column("lang").null_count:
+        batch = batch.set_column(batch.schema.get_field_index("lang"), "lang", _languages(batch, scale))
     rows = np.flatnonzero(batch.column("lang").is_valid().to_numpy(zero_copy_only=False))
     part = batch.take(pa.array(rows))
     slots = [np.frombuffer(x, np.uint16) for x in part.column("slots").to_pylist()]
@@ -156,6 +161,15 @@ def _opened(batch: pa.RecordBatch):
     return rows, part.column("lang").to_numpy(), owner, slot, count, np.bincount(owner, count, len(rows)), rated
 
 
+def _languages(batch: pa.RecordBatch, scale: Scale) -> pa.Array:
+    out = batch.column("lang").to_pylist()
+    for i in [i for i, g in enumerate(out) if g is None]:
+        slot = np.frombuffer(batch.column("slots")[i].as_py(), np.uint16)
+        known = (scale.beta[:, slot] != 0) @ np.frombuffer(batch.column("counts")[i].as_py(), np.uint32)
+        out[i] = int(known.argmax()) if len(slot) and known.any() else None
+    return pa.array(out, pa.int32())
+
+
 def _sums(bagged: DataFrame, scale: Scale | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all documents (with no scale yet: over the rated ones): occurrences and occurrences times level of each slot, and occurrences by level."""
     langs = len(COMMON)
@@ -232,7 +246,7 @@ def _moved(scale: Scale, before: Scale | None, x: np.ndarray) -> float:
 def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 2, tolerance: float = 0.02) -> DataFrame:
     """The level of each document's court-written text: doc_id, theta, level (1 to 5).
 
-    Documents without such text (null, empty, only headers, headnotes or orders, no words of a known language) have null theta and level. Repeated
+    Documents without such text (null, empty, only headers, headnotes or orders, no words that the corpus has) have null theta and level. Repeated
     rows give repeated rows; nulls and repeats in ``labels`` (doc_id, level, rater) are left out; other columns are ignored.
     Without any label the scale has no direction: all levels are null.
 
@@ -251,7 +265,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 2, tol
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lang, owner, slot, count, n, rated = _opened(batch)
+            rows, lang, owner, slot, count, n, rated = _opened(batch, scale)
             theta = np.full(batch.num_rows, np.nan)
             theta[rows] = scale.levels(lang, owner, slot, count, n, rated)[1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(theta, mask=np.isnan(theta)), batch.column("rated")], names=["doc_id", "theta", "rated"])

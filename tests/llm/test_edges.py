@@ -430,6 +430,15 @@ def test_levels(spark, sf_dir):
     assert {(r.doc_id, r.level) for r in levels.reading_levels(odd, spark.createDataFrame([(1, 5, "r")], labels.schema)).collect()} == {(i, None) for i in (1, 2, 3, 4)}
 
 
+def test_levels_without_frequent_words(spark, sf_dir):
+    """A text that holds none of the words that tell its language has a level all the same."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/reading_label.parquet")
+    more = spark.createDataFrame([(-1, "Facts\n1. Tenant paid rent."), (-2, "Facts\n1. 77. 78."), (-3, "Sachverhalt\n1. Klage abgewiesen.")], d.schema)
+    got = {r.doc_id: r.level for r in levels.reading_levels(d.union(more), labels).where("doc_id < 0").collect()}
+    assert got[-1] in range(1, 6) and got[-2] is None and got[-3] in range(1, 6)
+
+
 def test_levels_on_unseen_ratings(spark):
     """Level 4 or 5, told for rated documents that the scale wasn't fitted on."""
     at = "/root/testdata/sf0.01"
