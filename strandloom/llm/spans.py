@@ -77,7 +77,7 @@ def _merged_spans(spans: DataFrame) -> DataFrame:
 
 def _spans(records: DataFrame, window: int, hot: int) -> DataFrame:
     v, cover, w = cover_for(window)
-    buckets, width = buckets_for(records), hash_bytes(scanned_bytes(records))
+    buckets, width = buckets_for(records, 2 << 20), hash_bytes(scanned_bytes(records))
     blocks = stage(letter_blocks(records, window))
 
     def anchors(b: Block, _row) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +90,11 @@ def _spans(records: DataFrame, window: int, hot: int) -> DataFrame:
         return _window_hashes(b, at[known], words, window)
 
     shared = stage(_shared(blocks, anchors, buckets, width, hot))
-    spans = _extended(blocks.join(_by_block(shared, "normal"), "block"), (v, cover, w), window, buckets, width)
+    dealt = blocks.repartition(buckets, "block")  # few blocks a task, however many there are
+    spans = _extended(dealt.join(_by_block(shared, "normal", buckets), "block"), (v, cover, w), window, buckets, width)
     if not shared.where("hot is not null").isEmpty():
-        over = blocks.join(_by_block(shared, "hot"), "block")
-        found = _by_block(_shared(over, over_hot, buckets, 8, None), "normal", "windows")
+        over = dealt.join(_by_block(shared, "hot", buckets), "block")
+        found = _by_block(_shared(over, over_hot, buckets, 8, None), "normal", buckets, "windows")
         spans = spans.unionByName(_window_spans(over.join(found, "block"), over_hot, window))
     return spans
 
@@ -217,10 +218,11 @@ def _shared(blocks: DataFrame, hashed, buckets: int, width: int, hot: int | None
     return by_bucket(blocks.mapInArrow(send, "bucket int, block bigint, hash binary, owner binary, rid binary, more binary"), buckets, "bucket").applyInArrow(answer, "block bigint, normal binary, hot binary")
 
 
-def _by_block(shared: DataFrame, column: str, name: str | None = None) -> DataFrame:
+def _by_block(shared: DataFrame, column: str, tasks: int, name: str | None = None) -> DataFrame:
     """The shared hashes of each block in one row; a block's size bounds them."""
-    parts = shared.where(f"length({column}) > 0").groupBy("block").agg(F.collect_list(column).alias("parts"))
-    return parts.select("block", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x))").alias(name or column))
+    parts = shared.where(f"length({column}) > 0").repartition(tasks, "block").groupBy("block").agg(F.collect_list(column).alias("parts"))
+    rows = parts.select("block", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x))").alias(name or column))
+    return rows.hint("merge")  # it grows with the records, so it isn't broadcast
 
 
 def _extended(blocks: DataFrame, cover, window: int, buckets: int, width: int) -> DataFrame:
