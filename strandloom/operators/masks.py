@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import stage, unsent
 from .components import components
 from .convert import join_case
 from .kmers import block_runs, in_blocks, islands, windows
@@ -15,7 +15,7 @@ from .kmers import block_runs, in_blocks, islands, windows
 def placed(ms: DataFrame, both_strands: bool = True) -> DataFrame:
     """All windows of superstrings whose k-mer is represented: ms_id, k, pos, c, up (it has a one)."""
     w = windows(join_case(ms), "k", "ms_id", both_strands=both_strands, texts="c")
-    return w.join(w.where("up").select("ms_id", "c").distinct(), ["ms_id", "c"], "left_semi").select("ms_id", "k", "pos", "c", "up")
+    return w.join(unsent(w.where("up").select("ms_id", "c").distinct()), ["ms_id", "c"], "left_semi").select("ms_id", "k", "pos", "c", "up")
 
 
 def represented(ms: DataFrame, both_strands: bool = True) -> DataFrame:
@@ -48,7 +48,7 @@ def written(ms: DataFrame, ones: DataFrame) -> DataFrame:
 def last_is_represented(ms: DataFrame) -> DataFrame:
     """Whether each superstring's last window is represented, as the conventions of masks expect: ms_id, last_represented."""
     found = placed(ms).groupBy("ms_id").agg(F.max("pos").alias("last"))
-    return ms.join(found, "ms_id", "left").select("ms_id", F.coalesce(F.col("last") == F.length("superstring") - F.col("k"), F.lit(False)).alias("last_represented"))
+    return ms.join(unsent(found), "ms_id", "left").select("ms_id", F.coalesce(F.col("last") == F.length("superstring") - F.col("k"), F.lit(False)).alias("last_represented"))
 
 
 def _with_intervals(windows_: DataFrame) -> DataFrame:
