@@ -5,6 +5,7 @@ import pytest
 
 NAMES = [
     "mask_convention",
+    "mask_most_ones",
 ]
 
 
