@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import reverse_complement
-from ..runtime import stage
+from ..runtime import stage, unsent
 
 
 def oriented(sets: DataFrame, *keys: str) -> DataFrame:
@@ -19,7 +19,7 @@ def edges(nodes: DataFrame, *keys: str) -> DataFrame:
     n = nodes.distinct()
     a = n.withColumn("x", F.expr("right(u, length(u) - 1)"))
     b = n.select(*keys, F.col("u").alias("v"), F.expr("left(u, length(u) - 1)").alias("x"))
-    return a.join(b, [*keys, "x"]).select(*keys, "u", "v")
+    return a.join(unsent(b), [*keys, "x"]).select(*keys, "u", "v")
 
 
 def degrees(nodes: DataFrame, *keys: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 NAMES = [
     "mask_convention",
     "mask_most_ones",
+    "graph_degrees",
 ]
 
 
