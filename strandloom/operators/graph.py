@@ -45,7 +45,7 @@ def unary_links(nodes: DataFrame, *keys: str) -> DataFrame:
     e = edges(nodes, *keys)
     out = e.groupBy(*keys, "u").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n = 1").drop("n")
     into = e.groupBy(*keys, "v").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return out.join(into, [*keys, "v"], "left_semi").where((F.col("u") != F.col("v")) & (F.col("v") != reverse_complement("u")))
+    return out.join(unsent(into), [*keys, "v"], "left_semi").where((F.col("u") != F.col("v")) & (F.col("v") != reverse_complement("u")))
 
 
 def chains(links: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:

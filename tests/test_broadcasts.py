@@ -7,6 +7,7 @@ NAMES = [
     "mask_convention",
     "mask_most_ones",
     "graph_degrees",
+    "graph_unary_links",
 ]
 
 
