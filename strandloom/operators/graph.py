@@ -115,13 +115,13 @@ def longest_overlaps(nodes: DataFrame, *keys: str) -> DataFrame:
     Most have one of k - 1, which one join tells; only the others are tried at every length.
     """
     n = nodes.distinct()
-    full = n.withColumn("x", F.expr("right(u, length(u) - 1)")).join(n.select(*keys, F.expr("left(u, length(u) - 1)").alias("x")).distinct(), [*keys, "x"], "left_semi").select(*keys, "u")
-    rest = n.join(full, [*keys, "u"], "left_anti")
+    full = n.withColumn("x", F.expr("right(u, length(u) - 1)")).join(unsent(n.select(*keys, F.expr("left(u, length(u) - 1)").alias("x")).distinct()), [*keys, "x"], "left_semi").select(*keys, "u")
+    rest = n.join(unsent(full), [*keys, "u"], "left_anti")
     d = F.expr("sequence(1, length(u) - 2)")
     tails = rest.where("length(u) > 2").select(*keys, "u", F.explode(d).alias("d")).withColumn("x", F.expr("right(u, d)"))
     heads = n.where("length(u) > 2").select(*keys, "u", F.explode(d).alias("d")).select(*keys, "d", F.expr("left(u, d)").alias("x")).distinct()
-    some = tails.join(heads, [*keys, "d", "x"], "left_semi").groupBy(*keys, "u").agg(F.max("d").alias("overlap"))
-    found = full.withColumn("overlap", F.expr("length(u) - 1")).unionByName(rest.join(some, [*keys, "u"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0))))
+    some = tails.join(unsent(heads), [*keys, "d", "x"], "left_semi").groupBy(*keys, "u").agg(F.max("d").alias("overlap"))
+    found = full.withColumn("overlap", F.expr("length(u) - 1")).unionByName(rest.join(unsent(some), [*keys, "u"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0))))
     return found
 
 

@@ -8,6 +8,7 @@ NAMES = [
     "mask_most_ones",
     "graph_degrees",
     "graph_unary_links",
+    "pareto_bound_runs",
 ]
 
 
