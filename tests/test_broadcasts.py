@@ -9,6 +9,7 @@ NAMES = [
     "graph_degrees",
     "graph_unary_links",
     "pareto_bound_runs",
+    "pareto_bound_zeros",
 ]
 
 
