@@ -10,6 +10,7 @@ NAMES = [
     "graph_unary_links",
     "pareto_bound_runs",
     "pareto_bound_zeros",
+    "overlap_classes",
 ]
 
 
