@@ -55,7 +55,7 @@ def _with_intervals(windows_: DataFrame) -> DataFrame:
     """``windows_`` with the first position of the interval that each is in."""
     rows = in_blocks(windows_, ["ms_id"])
     found = block_runs(rows, ["ms_id"]).select("ms_id", "_b", "_g", F.col("first").alias("interval"))
-    return rows.join(found, ["ms_id", "_b", "_g"]).drop("_b", "_g")
+    return rows.join(unsent(found), ["ms_id", "_b", "_g"]).drop("_b", "_g")
 
 
 def intervals(windows_: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def presolved(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Intervals that a k-mer forces (ms_id, interval), and the rows of ``intervals`` that are left: undecided intervals and k-mers not covered yet."""
     once = inside.groupBy("ms_id", "c").agg(F.count("*").alias("n"), F.min("interval").alias("interval")).where("n = 1")
     forced = once.select("ms_id", "interval").distinct()
-    covered = inside.join(forced, ["ms_id", "interval"], "left_semi").select("ms_id", "c").distinct()
-    return forced, inside.join(forced, ["ms_id", "interval"], "left_anti").join(covered, ["ms_id", "c"], "left_anti")
+    covered = inside.join(unsent(forced), ["ms_id", "interval"], "left_semi").select("ms_id", "c").distinct()
+    return forced, inside.join(unsent(forced), ["ms_id", "interval"], "left_anti").join(unsent(covered), ["ms_id", "c"], "left_anti")
 
 
 def fewest_runs_approximately(windows_: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ NAMES = [
     "pareto_bound_runs",
     "pareto_bound_zeros",
     "overlap_classes",
+    "mask_presolve",
 ]
 
 
