@@ -81,8 +81,8 @@ def fewest_runs_approximately(windows_: DataFrame) -> DataFrame:
     spans, inside = runs(most_ones(windows_)), intervals(windows_)
     forced, left = presolved(inside)
     open_ = left.select("ms_id").distinct()
-    chosen = forced.union(spans.join(open_, "ms_id", "left_semi").select("ms_id", F.col("first").alias("interval"))).distinct()
-    return spans.join(chosen.withColumnRenamed("interval", "first"), ["ms_id", "first"], "left_semi").select("ms_id", "first", "last")
+    chosen = forced.union(spans.join(unsent(open_), "ms_id", "left_semi").select("ms_id", F.col("first").alias("interval"))).distinct()
+    return spans.join(unsent(chosen.withColumnRenamed("interval", "first")), ["ms_id", "first"], "left_semi").select("ms_id", "first", "last")
 
 
 def shrunk(lists: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ NAMES = [
     "pareto_bound_zeros",
     "overlap_classes",
     "mask_presolve",
+    "mask_fewest_runs_approximately",
 ]
 
 
