@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packed
 from ..functions.letters import from_number, is_valid, reverse_complement, to_number
-from ..runtime import spread
+from ..runtime import spread, unsent
 
 #: Letters of a text that are cut into windows at a time, and windows that leave a task together.
 CHUNK, SENT = 1 << 20, 1 << 15
@@ -155,7 +155,7 @@ def complement_pairs(kmers: DataFrame) -> DataFrame:
 
 def having_prefix(kmers: DataFrame, d: int) -> DataFrame:
     """k-mers u whose last d letters are the first d of another row or their own."""
-    return kmers.withColumn("x", F.right("u", F.lit(d))).join(kmers.select(F.left("u", F.lit(d)).alias("x")).distinct(), "x", "left_semi").select("u")
+    return kmers.withColumn("x", F.right("u", F.lit(d))).join(unsent(kmers.select(F.left("u", F.lit(d)).alias("x")).distinct()), "x", "left_semi").select("u")
 
 
 def by_prefix(kmers: DataFrame, letters: int = 4, parts: int | None = None) -> DataFrame:

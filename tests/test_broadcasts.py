@@ -13,6 +13,7 @@ NAMES = [
     "overlap_classes",
     "mask_presolve",
     "mask_fewest_runs_approximately",
+    "continued",
 ]
 
 
