@@ -55,12 +55,12 @@ def chains(links: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     A cycle has its smallest node as head, and is cut before it.
     """
     on = [*keys, "u"]
-    start = nodes.distinct().join(links.select(*keys, F.col("u").alias("p"), F.col("v").alias("u")), on, "left")
+    start = nodes.distinct().join(unsent(links.select(*keys, F.col("u").alias("p"), F.col("v").alias("u"))), on, "left")
     now = stage(start.select(*on, "p", F.when(F.col("p").isNull(), 0).otherwise(1).cast("bigint").alias("place"), F.least("u", F.coalesce("p", "u")).alias("low"), F.lit(False).alias("done")))
     longest = None
     while True:
         jump = now.select(*keys, F.col("u").alias("p"), F.col("p").alias("p2"), F.col("place").alias("more"), F.col("low").alias("low2"))
-        now = stage(now.join(jump, [*keys, "p"], "left").select(*on, F.coalesce("p2", "p").alias("p"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("p2").isNull().alias("done")))
+        now = stage(now.join(unsent(jump), [*keys, "p"], "left").select(*on, F.coalesce("p2", "p").alias("p"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("p2").isNull().alias("done")))
         open_ = now.where("not done").count()
         if open_ == 0:
             break
@@ -71,13 +71,13 @@ def chains(links: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     rings = now.where("not done").select(*on, F.col("low").alias("head"))
     if rings.isEmpty():
         return flat
-    cut = links.join(rings.select(*keys, F.col("head").alias("v")).distinct(), [*keys, "v"], "left_anti").join(rings.select(*on), on, "left_semi")
+    cut = links.join(unsent(rings.select(*keys, F.col("head").alias("v")).distinct()), [*keys, "v"], "left_anti").join(unsent(rings.select(*on)), on, "left_semi")
     return flat.union(chains(cut, rings.select(*on), *keys))
 
 
 def _only_cycles(now: DataFrame, keys) -> bool:
     """Whether every open pointer stays among open ones."""
-    return now.where("not done").join(now.where("done").select(*keys, F.col("u").alias("p")), [*keys, "p"], "left_semi").isEmpty()
+    return now.where("not done").join(unsent(now.where("done").select(*keys, F.col("u").alias("p"))), [*keys, "p"], "left_semi").isEmpty()
 
 
 def spelled(placed: DataFrame, *keys: str) -> DataFrame:
@@ -106,7 +106,7 @@ def isolated_paths(sets: DataFrame, *keys: str, both_strands: bool = True) -> Da
     out = nodes.select(*keys, F.expr("left(u, length(u) - 1)").alias("y")).distinct()
     k = F.length("seq") - F.col("kmers") + 1
     paths = unitigs(sets, *keys, both_strands=both_strands).withColumn("x", F.left("seq", k - 1)).withColumn("y", F.right("seq", k - 1))
-    return paths.join(into, [*keys, "x"], "left_anti").join(out, [*keys, "y"], "left_anti").select(*keys, "kmers", "seq")
+    return paths.join(unsent(into), [*keys, "x"], "left_anti").join(unsent(out), [*keys, "y"], "left_anti").select(*keys, "kmers", "seq")
 
 
 def longest_overlaps(nodes: DataFrame, *keys: str) -> DataFrame:

@@ -14,6 +14,7 @@ NAMES = [
     "mask_presolve",
     "mask_fewest_runs_approximately",
     "continued",
+    "graph_isolated_paths",
 ]
 
 
