@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import stage, unsent
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,10 +21,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.where("u > v").union(now.where("u > v").select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = both.join(unsent(least), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         loops = now.where("u = v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v"), F.col("m")).union(least.select("u", "m")).toDF("u", "v")
+        small = large.join(unsent(least), "u").select(F.col("v"), F.col("m")).union(least.select("u", "m")).toDF("u", "v")
         now = stage(small.where("u > v").union(loops).distinct())
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:

@@ -65,7 +65,7 @@ def intervals(windows_: DataFrame) -> DataFrame:
 
 def covered(windows_: DataFrame, chosen: DataFrame) -> DataFrame:
     """The k-mers in chosen intervals (ms_id, first): ms_id, c."""
-    return intervals(windows_).join(chosen.select("ms_id", F.col("first").alias("interval")), ["ms_id", "interval"], "left_semi").select("ms_id", "c").distinct()
+    return intervals(windows_).join(unsent(chosen.select("ms_id", F.col("first").alias("interval"))), ["ms_id", "interval"], "left_semi").select("ms_id", "c").distinct()
 
 
 def presolved(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,22 +94,22 @@ def shrunk(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     left, chosen = stage(lists), None
     rows = left.count()
     while rows:
-        both = left.join(left.select("ms_id", "interval", F.col("s").alias("t")), ["ms_id", "interval"]).groupBy("ms_id", "s", "t").agg(F.count("*").alias("n"))
+        both = left.join(unsent(left.select("ms_id", "interval", F.col("s").alias("t"))), ["ms_id", "interval"]).groupBy("ms_id", "s", "t").agg(F.count("*").alias("n"))
         size = left.groupBy("ms_id", "s").agg(F.count("*").alias("of_s"))
-        both = both.where("s <> t").join(size, ["ms_id", "s"]).join(size.toDF("ms_id", "t", "of_t"), ["ms_id", "t"])
+        both = both.where("s <> t").join(unsent(size), ["ms_id", "s"]).join(unsent(size.toDF("ms_id", "t", "of_t")), ["ms_id", "t"])
         met = both.where("n = of_s and (of_s < of_t or s < t)").select("ms_id", F.col("t").alias("s")).distinct()
-        left = stage(left.join(met, ["ms_id", "s"], "left_anti"))
+        left = stage(left.join(unsent(met), ["ms_id", "s"], "left_anti"))
 
-        both = left.join(left.select("ms_id", "s", F.col("interval").alias("other")), ["ms_id", "s"]).groupBy("ms_id", "interval", "other").agg(F.count("*").alias("n"))
+        both = left.join(unsent(left.select("ms_id", "s", F.col("interval").alias("other"))), ["ms_id", "s"]).groupBy("ms_id", "interval", "other").agg(F.count("*").alias("n"))
         size = left.groupBy("ms_id", "interval").agg(F.count("*").alias("of_i"))
-        both = both.where("interval <> other").join(size, ["ms_id", "interval"]).join(size.toDF("ms_id", "other", "of_o"), ["ms_id", "other"])
+        both = both.where("interval <> other").join(unsent(size), ["ms_id", "interval"]).join(unsent(size.toDF("ms_id", "other", "of_o")), ["ms_id", "other"])
         idle = both.where("n = of_i and (of_i < of_o or other < interval)").select("ms_id", "interval").distinct()
-        left = stage(left.join(idle, ["ms_id", "interval"], "left_anti"))
+        left = stage(left.join(unsent(idle), ["ms_id", "interval"], "left_anti"))
 
         only = stage(left.groupBy("ms_id", "s").agg(F.count("*").alias("n"), F.min("interval").alias("interval")).where("n = 1").select("ms_id", "interval").distinct())
         chosen = only if chosen is None else chosen.union(only)
-        done = left.join(only, ["ms_id", "interval"], "left_semi").select("ms_id", "s").distinct()
-        left = stage(left.join(done, ["ms_id", "s"], "left_anti"))
+        done = left.join(unsent(only), ["ms_id", "interval"], "left_semi").select("ms_id", "s").distinct()
+        left = stage(left.join(unsent(done), ["ms_id", "s"], "left_anti"))
         before, rows = rows, left.count()
         if rows == before:
             break
@@ -191,6 +191,6 @@ def fewest_runs(windows_: DataFrame) -> DataFrame:
         pick = smallest_cover(need, len(need))
         return pd.DataFrame({"ms_id": pdf["ms_id"].iloc[0], "interval": sorted(pick)})
 
-    solved = sets.join(found, "a").select("component", "ms_id", "choices").groupBy("component", "ms_id").applyInPandas(solve, "ms_id string, interval bigint")
+    solved = sets.join(unsent(found), "a").select("component", "ms_id", "choices").groupBy("component", "ms_id").applyInPandas(solve, "ms_id string, interval bigint")
     chosen = forced.union(chosen).union(solved).withColumnRenamed("interval", "first").distinct()
-    return spans.join(chosen, ["ms_id", "first"], "left_semi").select("ms_id", "first", "last")
+    return spans.join(unsent(chosen), ["ms_id", "first"], "left_semi").select("ms_id", "first", "last")

@@ -15,6 +15,7 @@ NAMES = [
     "mask_fewest_runs_approximately",
     "continued",
     "graph_isolated_paths",
+    "mask_fewest_runs_decoded",
 ]
 
 
