@@ -16,6 +16,7 @@ NAMES = [
     "continued",
     "graph_isolated_paths",
     "mask_fewest_runs_decoded",
+    "mask_fewest_runs",
 ]
 
 
