@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.letters import reverse_complement
-from ..runtime import stage
+from ..runtime import stage, unsent
 from .graph import chains, oriented, unitigs
 from .kmers import windows
 
@@ -29,7 +29,7 @@ BLOCK = 1 << 14
 def _pieces(sets: DataFrame, key: str, both_strands: bool) -> DataFrame:
     """Unitigs: key, k, id, seq. Ids are unique; the table is written, so they stay."""
     k = sets.groupBy(key).agg(F.max(F.length("c")).alias("k"))
-    return stage(unitigs(sets, key, both_strands=both_strands).select(key, "seq").join(k, key).withColumn("id", F.monotonically_increasing_id()))
+    return stage(unitigs(sets, key, both_strands=both_strands).select(key, "seq").join(unsent(k), key).withColumn("id", F.monotonically_increasing_id()))
 
 
 def _nodes(pieces: DataFrame, key: str, both_strands: bool) -> DataFrame:
@@ -63,7 +63,7 @@ def _fitting(ends: DataFrame, key: str, first: int, last: int, both_strands: boo
     rows = rows.select(key, "k", "end", "path", "missing", "x", "role")
     group = [key, "missing", "x"]
     sizes_ = rows.groupBy(*group).agg(*(F.count_if(F.col("role") == i).alias(f"n{i}") for i in range(3))).where("n0 > 0 and n1 > 0 or n2 > 1")
-    rows = rows.join(sizes_, group)
+    rows = rows.join(unsent(sizes_), group)
     if rings:
         return rows.drop("n0", "n1", "n2")
     mine = Window.partitionBy(*group, "path")
@@ -129,22 +129,22 @@ class _Joining:
         look = direct.select("end", "cost")
         if walks is not None:
             side = lambda x: self.ends.select(F.col("end").alias(x), F.col("path").alias(f"path_{x}"))
-            walks = walks.join(side("a"), "a").join(side("b"), "b").where("path_a <> path_b").select(key, "a", "path_a", "b", "path_b", F.lit(0).alias("missing"), "cost")
+            walks = walks.join(unsent(side("a")), "a").join(unsent(side("b")), "b").where("path_a <> path_b").select(key, "a", "path_a", "b", "path_b", F.lit(0).alias("missing"), "cost")
             look = look.unionByName(walks.select(F.explode(F.array("a", "b")).alias("end"), "cost"))
         least = look.groupBy("end").agg(F.min("cost").alias("cost"))
         self.looking = least
-        pairs = _paired(direct.join(least, ["end", "cost"], "left_semi"), key, self.rounds, salts).withColumn("cost", missing + F.when(missing > 1, self.penalty).otherwise(0))
+        pairs = _paired(direct.join(unsent(least), ["end", "cost"], "left_semi"), key, self.rounds, salts).withColumn("cost", missing + F.when(missing > 1, self.penalty).otherwise(0))
         if walks is not None:
             at = lambda x: least.withColumnRenamed("end", x)
-            pairs = pairs.unionByName(walks.join(at("a"), ["a", "cost"], "left_semi").join(at("b"), ["b", "cost"], "left_semi"))
+            pairs = pairs.unionByName(walks.join(unsent(at("a")), ["a", "cost"], "left_semi").join(unsent(at("b")), ["b", "cost"], "left_semi"))
         return pairs if self.rings else _first_of_paths(pairs.where("path_a <> path_b"), key)
 
     def take(self, pairs: DataFrame, n: int) -> None:
         self.done.append(pairs.select(self.key, "a", "b", "missing"))
-        left = self.ends.join(pairs.select(F.explode(F.array("a", "b")).alias("end")), "end", "left_anti")
+        left = self.ends.join(unsent(pairs.select(F.explode(F.array("a", "b")).alias("end"))), "end", "left_anti")
         if not self.rings:
             now = pairs.select(F.explode(F.array("path_a", "path_b")).alias("path"), F.least("path_a", "path_b").alias("now"))
-            left = left.join(now, "path", "left").withColumn("path", F.coalesce("now", "path")).drop("now")
+            left = left.join(unsent(now), "path", "left").withColumn("path", F.coalesce("now", "path")).drop("now")
         self.ends, self.free = stage(left.select(self.ends.columns)), self.free - 2 * n
 
     def joins(self) -> DataFrame | None:
@@ -273,14 +273,14 @@ def _parts(nodes: DataFrame, links: DataFrame | None, walked: DataFrame | None,
     placed = chains(links.select(key, "u", "v"), on, key)
     if walked is not None:
         by = walked.select(key, "u", "v", "letters", F.lit(0).alias("missing"))
-        links = links.join(by, [key, "u", "v", "missing"], "left")
+        links = links.join(unsent(by), [key, "u", "v", "missing"], "left")
     else:
         links = links.withColumn("letters", F.lit(None).cast("string"))
-    rows = placed.join(links.select(key, "u", "missing", "letters"), [key, "u"], "left")
+    rows = placed.join(unsent(links.select(key, "u", "missing", "letters")), [key, "u"], "left")
     if both_strands:  # of a chain and its mirror, the one whose first node is the smaller
         last = rows.groupBy(key, "head").agg(F.max_by("u", "place").alias("last"))
-        rows = rows.join(last.where(F.col("head") <= F.col("last").bitwiseXOR(F.lit(1))).select(key, "head"), [key, "head"], "left_semi")
-    rows = rows.withColumnRenamed("u", "node").join(nodes, [key, "node"])
+        rows = rows.join(unsent(last.where(F.col("head") <= F.col("last").bitwiseXOR(F.lit(1))).select(key, "head")), [key, "head"], "left_semi")
+    rows = rows.withColumnRenamed("u", "node").join(unsent(nodes), [key, "node"])
     tail = F.expr("right(u, k - 1)")
     walk = F.expr("array_join(zip_with(split(left(upper(right(u, k - 1) || letters), length(letters) - 1), ''), split(left(letters, length(letters) - 1), ''), (x, m) -> if(m = upper(m), x, lower(x))), '')")
     rest = F.when(F.col("letters").isNotNull(), walk).otherwise(F.lower(F.left(tail, F.coalesce(F.col("missing") - 1, F.col("k") - 1))))

@@ -17,6 +17,7 @@ NAMES = [
     "graph_isolated_paths",
     "mask_fewest_runs_decoded",
     "mask_fewest_runs",
+    "superstring_sizes",
 ]
 
 
