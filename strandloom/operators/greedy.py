@@ -305,7 +305,7 @@ def _with_next(parts: DataFrame, ks: DataFrame, key: str) -> DataFrame:
     block, most = F.floor(F.col("place") / BLOCK), (ks.agg(F.max("k")).first()[0] or 1) - 1
     rows = parts.withColumn("block", block)
     before = rows.where((F.col("block") > 0) & (F.col("place") - F.col("block") * BLOCK < most)).withColumn("block", F.col("block") - 1)  # the next block's first parts, for their letters
-    rows = rows.withColumn("own", F.lit(True)).unionByName(before.withColumn("own", F.lit(False))).join(ks, key)
+    rows = rows.withColumn("own", F.lit(True)).unionByName(before.withColumn("own", F.lit(False))).join(unsent(ks), key)
     follow = Window.partitionBy(key, "chain", "block").orderBy("place").rowsBetween(1, max(1, most))
     rows = rows.withColumn("after", F.array_join(F.collect_list(F.left("part", F.col("k") - 1)).over(follow), "")).where("own")
     return rows.select(key, "k", "chain", "place", F.concat("part", F.left("after", F.col("k") - 1)).alias("seq"))

@@ -18,6 +18,7 @@ NAMES = [
     "mask_fewest_runs_decoded",
     "mask_fewest_runs",
     "superstring_sizes",
+    "global_greedy_decoded",
 ]
 
 
