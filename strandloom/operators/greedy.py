@@ -166,7 +166,7 @@ def _links(joins: DataFrame, key: str, both_strands: bool) -> DataFrame:
 
 def _better(front: DataFrame, best: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``front`` that are cheaper than the best ones so far for their ends."""
-    return front.join(best.select(*on, F.col("cost").alias("had")), on, "left").where("had is null or cost < had").drop("had")
+    return front.join(unsent(best.select(*on, F.col("cost").alias("had"))), on, "left").where("had is null or cost < had").drop("had")
 
 
 def _cheapest(walks: DataFrame, on: list[str]) -> DataFrame:
@@ -182,11 +182,11 @@ def _walks(nodes: DataFrame, free: DataFrame, key: str, most: Column) -> DataFra
     on = [key, "k", "u", "at"]
     tails = nodes.select(key, F.col("node").alias("at"), F.expr("right(u, k - 1)").alias("x"))
     heads = nodes.select(key, F.col("node").alias("next"), F.expr("left(u, k - 1)").alias("x"), F.expr("if(length(u) - k + 1 < 2 * k, right(u, length(u) - k + 1), null)").alias("more"), F.expr("substr(u, k, 1)").alias("one"))
-    follows = stage(tails.join(heads, [key, "x"]).drop("x"))
-    starts = nodes.join(free.select(key, F.col("end").alias("node")), [key, "node"], "left_semi")
+    follows = stage(tails.join(unsent(heads), [key, "x"]).drop("x"))
+    starts = nodes.join(unsent(free.select(key, F.col("end").alias("node"))), [key, "node"], "left_semi")
 
     def onward(front: DataFrame) -> DataFrame:
-        step = front.join(follows.where("more is not null"), [key, "at"]).withColumn("letters", F.concat("letters", "more")).withColumn("cost", F.length("letters"))
+        step = front.join(unsent(follows.where("more is not null")), [key, "at"]).withColumn("letters", F.concat("letters", "more")).withColumn("cost", F.length("letters"))
         return _cheapest(step.where(F.col("cost") < most).select(key, "k", "u", F.col("next").alias("at"), "cost", "letters"), on)
 
     begin = stage(starts.select(key, "k", F.col("node").alias("u"), F.col("node").alias("at"), F.lit(0).alias("cost"), F.lit("").alias("letters")))
@@ -195,7 +195,7 @@ def _walks(nodes: DataFrame, free: DataFrame, key: str, most: Column) -> DataFra
     while not front.isEmpty():
         front = stage(_better(onward(front), best, on))
         best = stage(_cheapest(best.unionByName(front), on))
-    hits = best.join(follows, [key, "at"]).select(key, "u", F.col("next").alias("v"), F.concat("letters", "one").alias("letters"))
+    hits = best.join(unsent(follows), [key, "at"]).select(key, "u", F.col("next").alias("v"), F.concat("letters", "one").alias("letters"))
     return _cheapest(hits.withColumn("cost", F.length("letters")), [key, "u", "v"])
 
 
@@ -211,11 +211,11 @@ def _walks_with_gaps(sets: DataFrame, nodes: DataFrame, key: str, penalty: int,
     while not front.isEmpty():
         out = front.where("k > 1").select(*on, "cost", "letters", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("d"))
         out = out.withColumn("cost", F.col("cost") + F.col("k") - F.col("d") + penalty * (F.col("k") - 1 - F.col("d"))).where(F.col("cost") <= (F.col("k") - 1) * (penalty + 1))
-        step = out.withColumn("x", F.expr("right(u, d)")).drop("u").join(entries, [key, "d", "x"])
+        step = out.withColumn("x", F.expr("right(u, d)")).drop("u").join(unsent(entries), [key, "d", "x"])
         step = step.withColumn("letters", F.concat("letters", F.lower(F.expr("substr(v, d + 1, k - d - 1)")), F.expr("right(v, 1)")))
         front = stage(_better(_cheapest(step.withColumnRenamed("v", "u").select(*on, "cost", "letters"), on), best, on))
         best = stage(_cheapest(best.unionByName(front), on))
-    return _cheapest(best.join(heads, [key, "u"]).select(key, F.col("n").alias("u"), "v", "cost", "letters"), [key, "u", "v"])
+    return _cheapest(best.join(unsent(heads), [key, "u"]).select(key, F.col("n").alias("u"), "v", "cost", "letters"), [key, "u", "v"])
 
 
 def _as_ends(walks: DataFrame, key: str, both_strands: bool) -> DataFrame:

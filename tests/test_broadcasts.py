@@ -19,6 +19,7 @@ NAMES = [
     "mask_fewest_runs",
     "superstring_sizes",
     "global_greedy_decoded",
+    "pareto_decoded",
 ]
 
 
