@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import letters
 from ..operators import convert, graph, greedy, kmers, masks, measures, postings, superstrings
+from ..runtime import unsent
 from ..streaming import arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,7 +542,7 @@ def length_bound(spark, sf_dir):
 def strings_joined_decoded(spark, sf_dir):
     """The strings of each masked superstring joined greedily as they are; the k-mers of the result."""
     ms = superstring_rows(spark, sf_dir)
-    strings = convert.to_strings(ms).join(ms.select("ms_id", "k").distinct(), "ms_id").select("ms_id", "k", "seq")
+    strings = convert.to_strings(ms).join(unsent(ms.select("ms_id", "k").distinct()), "ms_id").select("ms_id", "k", "seq")
     return _decoded(spark, sf_dir, greedy.joined(None, "ms_id", strings=strings))
 
 

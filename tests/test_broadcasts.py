@@ -20,6 +20,7 @@ NAMES = [
     "superstring_sizes",
     "global_greedy_decoded",
     "pareto_decoded",
+    "strings_joined_decoded",
 ]
 
 
