@@ -323,7 +323,7 @@ def both_masks(parts: DataFrame, ks: DataFrame, key: str, both_strands: bool = T
     Windows over the seam of two chains aren't looked at.
     """
     w = windows(_with_next(parts, ks, key), "k", key, "chain", "place", both_strands=both_strands, texts="c")
-    return w.join(w.where("up").select(key, "c").distinct(), [key, "c"], "left_semi").select(key, "chain", "place", "pos", F.col("up").alias("one"), "c")
+    return w.join(unsent(w.where("up").select(key, "c").distinct()), [key, "c"], "left_semi").select(key, "chain", "place", "pos", F.col("up").alias("one"), "c")
 
 
 def sizes(parts: DataFrame, key: str) -> DataFrame:

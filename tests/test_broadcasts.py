@@ -21,6 +21,7 @@ NAMES = [
     "global_greedy_decoded",
     "pareto_decoded",
     "strings_joined_decoded",
+    "superstring_both_masks",
 ]
 
 
