@@ -343,5 +343,5 @@ def length_bound(sets: DataFrame, key: str, both_strands: bool = True) -> DataFr
     joins = joining.joins()
     if joins is None:
         return total.select(key, F.col("total").alias("bound"))
-    saved = joins.join(total, key).groupBy(key).agg(F.sum(F.col("k") - F.col("missing")).alias("saved"))
-    return total.join(saved, key, "left").select(key, (F.col("total") - F.coalesce("saved", F.lit(0))).cast("bigint").alias("bound"))
+    saved = joins.join(unsent(total), key).groupBy(key).agg(F.sum(F.col("k") - F.col("missing")).alias("saved"))
+    return total.join(unsent(saved), key, "left").select(key, (F.col("total") - F.coalesce("saved", F.lit(0))).cast("bigint").alias("bound"))

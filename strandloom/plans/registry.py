@@ -560,7 +560,7 @@ def superstring_quality(spark, sf_dir):
     sets = _sets(spark, sf_dir)
     size = greedy.sizes(greedy.joined(sets, "ms_id"), "ms_id")
     plain = greedy.sizes(greedy.joined(sets, "ms_id", 1), "ms_id").select("ms_id", F.col("length").alias("plain"))
-    both = size.join(greedy.length_bound(sets, "ms_id"), "ms_id").join(plain, "ms_id")
+    both = size.join(unsent(greedy.length_bound(sets, "ms_id")), "ms_id").join(unsent(plain), "ms_id")
     return both.select("ms_id", "ones", (F.col("length") >= F.col("bound")).alias("not_under_bound"), (F.col("length") <= F.col("plain")).alias("not_over_simplitigs"))
 
 

@@ -22,6 +22,7 @@ NAMES = [
     "pareto_decoded",
     "strings_joined_decoded",
     "superstring_both_masks",
+    "superstring_quality",
 ]
 
 
