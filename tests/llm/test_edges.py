@@ -300,6 +300,29 @@ def test_overlaps_settled_by_sketches(spark):
         assert 0 <= out < least * tau < sure <= least and (draws[0] > out).all() and (draws[1] < sure).all()
 
 
+def test_overlaps_counted_in_bounded_memory():
+    """A bucket of two million k-mers, half of them in both sets: sorting takes many times their memory unless it goes in parts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, k = 1_000_000, 31
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 62, 2 * n, dtype=np.uint64))[: 3 * n // 2]
+    keys = np.unique(np.minimum(keys, overlaps.reverse_complement(keys, k)))
+    half = len(keys) // 3
+    rows = []
+    for mark, own in ((7, keys[: 2 * half]), (9, keys[half:])):
+        for part in np.array_split(own << np.uint64(64 - 2 * k), 30):
+            rows.append({"sets": np.array([mark]).tobytes(), "counts": np.array([len(part)], np.int32).tobytes(), "sizes": np.ones(len(part), np.uint8).tobytes(), "words": part.tobytes(), "sub": 0, "subs": 1})
+    batch = pa.RecordBatch.from_pylist(rows)
+    tracemalloc.start()
+    found = [x for out in overlaps._counted(k)(iter([batch])) for x in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(x["did_a"], x["did_b"]) for x in found} == {(7, 9)} and sum(x["n"] for x in found) == half
+    assert peak < 100e6
+
+
 def test_overlaps_of_heavy_buckets(spark, monkeypatch):
     """Buckets that are split between tasks and opened in passes give the same counts."""
     monkeypatch.setattr(overlaps, "OPENED", 300)
