@@ -69,9 +69,9 @@ def bits_per_letter(results: DataFrame) -> DataFrame:
 
 
 def set_equality(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Whether two k-mer sets (c) are equal: count_a, count_b, count_union, equal. One shuffle of both."""
-    sides = a.select("c", F.lit(1).alias("s")).union(b.select("c", F.lit(2).alias("s"))).distinct()
-    each = sides.groupBy("c").agg(F.sum("s").alias("s"))
+    """Whether two k-mer sets (c) are equal: count_a, count_b, count_union, equal. One shuffle of both; a k-mer may stand in a side several times."""
+    sides = a.select("c", F.lit(1).alias("s")).union(b.select("c", F.lit(2).alias("s")))
+    each = sides.groupBy("c").agg(F.bit_or("s").alias("s"))
     total = each.agg(F.count_if(F.col("s") != 2).alias("count_a"), F.count_if(F.col("s") != 1).alias("count_b"), F.count("*").alias("count_union"))
     return total.withColumn("equal", (F.col("count_a") == F.col("count_union")) & (F.col("count_b") == F.col("count_union")))
 

@@ -19,7 +19,7 @@ def streaming(records: DataFrame, k: int, both_strands: bool = True) -> DataFram
     is written, ones in upper case. The parts in the order of rid are the superstring. Only k-mers and positions are shuffled; the letters are taken from the records.
     """
     first = first_positions(records, k, both_strands) if k <= 31 else first_windows(records, k, both_strands)
-    ones = first.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("ones"))  # not more than the record has letters
+    ones = first.groupBy("rid").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("ones"))  # not more than the record has letters
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import greedy, masks
+from strandloom.operators import greedy, masks, measures
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -181,3 +181,20 @@ def test_windows_and_runs_of_a_long_text(spark, monkeypatch):
     assert strings == [(i, text[a : b + 31][: 500_000 - a]) for i, (a, b) in enumerate(runs)]
     back = convert.split_case(convert.join_case(ms).select("ms_id", "seq")).first()
     assert back.mask == mask and back.superstring == text[:500_000]
+
+
+def test_sets_are_compared_in_one_shuffle(spark):
+    """A k-mer that stands in a side several times counts once, without a shuffle for that."""
+    a = spark.createDataFrame([(1,), (1,), (2,), (3,)], "c bigint")
+    b = spark.createDataFrame([(3,), (2,), (2,), (4,)], "c bigint")
+    found = measures.set_equality(a, b)
+    assert [tuple(r) for r in found.collect()] == [(3, 3, 4, False)]
+    assert [tuple(r) for r in measures.set_equality(a, a).collect()] == [(3, 3, 3, True)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_streaming_superstring_is_made_once(spark, sf_dir):
+    """The parts that are decoded again are read from a stage, so they don't come from a join that runs for each reader."""
+    import __spark_entry__
+
+    assert "Join" not in __spark_entry__.queries()["streaming_verified"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
